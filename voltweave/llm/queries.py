@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii
+from . import decontaminate, html, packing, pii, quality, warc
 from .tables import read
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read(spark, sf_dir, "pages"))
+
+
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 def op6_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(read(spark, sf_dir, "documents"))
 
@@ -16,8 +28,76 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op10_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
+    "op2_spaced_seeds": op2_spaced_seeds,
+    "op4_host_rules": op4_host_rules,
     "op6_anchor_pii": op6_anchor_pii,
     "op8_tier_packing": op8_tier_packing,
+    "op10_text_to_tag": op10_text_to_tag,
+}
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLES = {
+    "op1_warc_revisits": """
+WITH p AS (
+  SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, url, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last_id FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id < last_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last_id THEN last_id END AS refers_to,
+       regexp_replace(url, '[\\x00-\\x20\\x7f]', '%20', 'g') AS url,
+       '<urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-a' || substr(h, 18, 3) || '-' || substr(h, 21, 12) || '>' AS record_id
+FROM (SELECT *, sha1(coalesce(CAST(page_id AS VARCHAR), '') || '/' || payload_digest) AS h FROM f)
+""",
+    "op4_host_rules": f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, unnest(regexp_extract_all(text, '{WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{WORD}'), 1) AS i FROM t
+), n AS (
+  SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY r
+), g AS (
+  SELECT r, i, CASE WHEN lead(i, 4) OVER o IS NOT NULL
+         THEN concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) END AS gram
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY i)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g WHERE gram IS NOT NULL) WHERE c > 1
+), rep AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, range(5) AS x(k) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '{WORD}') GROUP BY r
+), m AS (
+  SELECT t.doc_id, t.source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM t LEFT JOIN n USING (r) LEFT JOIN rep USING (r) LEFT JOIN lines USING (r)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+), v AS (
+  SELECT *, base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines AS rule_failed FROM b
+), h AS (
+  SELECT source, count(*) AS n, sum(rule_failed::INT) AS failed FROM v GROUP BY source
+), s AS (
+  SELECT sum(failed) / sum(n) AS mean, greatest(sum(failed * failed / n) / sum(n) - (sum(failed) / sum(n)) ** 2, 0) AS spread FROM h
+), p AS (
+  SELECT mean, least(greatest(CASE WHEN spread > 0 THEN mean * (1 - mean) / spread - 1 ELSE 1000 END, 2), 1000) AS strength FROM s
+), hv AS (
+  SELECT source, (failed + mean * strength) / (n + strength) > 0.5 AS host_failed FROM h, p
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       base_failed, host_failed, NOT rule_failed AND NOT host_failed AS kept
+FROM v JOIN hv ON v.source IS NOT DISTINCT FROM hv.source
+""",
 }
-ORACLES: dict[str, str] = {}
