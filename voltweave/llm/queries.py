@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, packing, pii, quality, warc
+from . import decontaminate, html, packing, pii, quality, suffixes, warc
 from .tables import read
 
 
@@ -24,6 +24,10 @@ def op6_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(read(spark, sf_dir, "documents"))
 
 
+def op7_deep_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op2_spaced_seeds": op2_spaced_seeds,
     "op4_host_rules": op4_host_rules,
     "op6_anchor_pii": op6_anchor_pii,
+    "op7_deep_shallow": op7_deep_shallow,
     "op8_tier_packing": op8_tier_packing,
     "op10_text_to_tag": op10_text_to_tag,
 }

@@ -50,7 +50,7 @@ def release(spark: SparkSession) -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size of a plan: file bytes for a scan. No job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def bucket_count(df: DataFrame, bytes_each: int = 4 << 20, least: int = 16) -> int:
