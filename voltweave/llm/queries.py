@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, packing, pii, quality, suffixes, warc
+from . import decontaminate, html, packing, pii, quality, recompression, suffixes, warc
 from .tables import read
 
 
@@ -20,6 +20,10 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_windows(read(spark, sf_dir, "documents"))
+
+
 def op6_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_private(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_spaced_seeds": op2_spaced_seeds,
     "op4_host_rules": op4_host_rules,
+    "op5_recompression": op5_recompression,
     "op6_anchor_pii": op6_anchor_pii,
     "op7_deep_shallow": op7_deep_shallow,
     "op8_tier_packing": op8_tier_packing,
@@ -49,6 +54,25 @@ QUERIES = {
 WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLES = {
+    "op5_recompression": f"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS word, generate_subscripts(regexp_extract_all(text, '{WORD}'), 1) AS i FROM t
+), g AS (
+  SELECT r, doc_id, i, hash(list(word) OVER o) AS h, list(word) OVER o AS gram, count(*) OVER o AS n
+  FROM w WINDOW o AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)
+), later AS (
+  SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY h, gram) AS least FROM g WHERE n = 13) WHERE doc_id > least
+), gone AS (
+  SELECT DISTINCT r, i + k AS i FROM later, range(13) AS x(k)
+), s AS (
+  SELECT w.r, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(w.word, ' ' ORDER BY w.i) FILTER (WHERE gone.i IS NULL) AS kept
+  FROM w LEFT JOIN gone ON w.r = gone.r AND w.i = gone.i GROUP BY w.r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN s USING (r)
+""",
     "op1_warc_revisits": """
 WITH p AS (
   SELECT page_id, url, encode(coalesce(html, '')) AS payload FROM pages
