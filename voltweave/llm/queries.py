@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, packing, pii, quality, recompression, suffixes, warc
+from . import decontaminate, html, neardup, packing, pii, quality, recompression, suffixes, warc
 from .tables import read
 
 
@@ -16,6 +16,11 @@ def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85, bins=128)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op10_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op2_spaced_seeds": op2_spaced_seeds,
+    "op3_one_permutation": op3_one_permutation,
     "op4_host_rules": op4_host_rules,
     "op5_recompression": op5_recompression,
     "op6_anchor_pii": op6_anchor_pii,
