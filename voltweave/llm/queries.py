@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, neardup, packing, pii, quality, recompression, suffixes, warc
+from . import decontaminate, html, language, neardup, packing, pii, quality, recompression, suffixes, warc
 from .tables import read
 
 
@@ -41,6 +41,10 @@ def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op9_gated_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_text_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(read(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_anchor_pii": op6_anchor_pii,
     "op7_deep_shallow": op7_deep_shallow,
     "op8_tier_packing": op8_tier_packing,
+    "op9_gated_recurrent": op9_gated_recurrent,
     "op10_text_to_tag": op10_text_to_tag,
 }
 
