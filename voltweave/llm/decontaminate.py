@@ -112,15 +112,20 @@ def stretches(agree: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(hits[np.concatenate([[0], gaps + 1])].tolist(), (hits[np.concatenate([gaps, [len(hits) - 1]])] + 1).tolist(), strict=True))
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id and the best stretch of each pair that overlaps; uses doc_id, text, item_id, and no other column."""
-    spark = docs.sparkSession
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about so many bytes each, by a hash of the item, and never all at once."""
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     passes = -(-size // block_bytes) or 1
-    out = None
     for k in range(passes):
         part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect() if r["item_id"] is not None])
+        yield [(r["item_id"], r["text"]) for r in part.collect() if r["item_id"] is not None]
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id and the best stretch of each pair that overlaps; uses doc_id, text, item_id, and no other column."""
+    out = None
+    for items in benchmark_blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = Seeds(sent.value)
@@ -136,8 +141,18 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that overlap no item, with all their columns; rows that share a doc_id (null included) go together."""
-    found = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_hit"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that overlap no item, with all their columns. Each block of items is a filter; nothing is joined or shuffled."""
+    for items in benchmark_blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Seeds(sent.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for block in B.blocks(batch, key="text"):
+                    clean[[block.first + d for d, _ in index.matches(block)]] = False
+                yield batch.filter(pa.array(clean))
 
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as B
@@ -248,7 +248,9 @@ def row_print(key, text):
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
+    """One document of each component, the smallest, with all its columns; of rows that repeat it in full one stays."""
     kept = near_duplicates(docs, size, percent).where("kept").select(F.col("rid").alias("_rid")).distinct()
-    docs_ = docs.withColumn("_of", row_print(F.col("doc_id").cast("long"), F.col("text")))
-    return docs_.join(kept, F.col("_of") == F.col("_rid"), "left_semi").drop("_of")
+    marked = docs.withColumn("_of", row_print(F.col("doc_id").cast("long"), F.col("text")))
+    marked = marked.join(kept, F.col("_of") == F.col("_rid"), "left_semi")
+    again = F.row_number().over(Window.partitionBy("_of").orderBy("_of"))
+    return marked.withColumn("_again", again).where("_again = 1").drop("_of", "_again")

@@ -85,6 +85,7 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 def host_verdicts(docs: DataFrame) -> DataFrame:
     """host, host_failed: from measured documents. The prior comes from one row of moments over all hosts."""
     hosts = docs.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
+    hosts = WorkTable(hosts, "hosts").read()  # documents are measured once
     sums = hosts.agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.sum(F.col("failed") * F.col("failed") / F.col("n")).alias("square")).first()
     n, failed = sums["n"] or 0, sums["failed"] or 0
     mean = failed / n if n else 0.0
@@ -100,3 +101,19 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     verdicts = host_verdicts(base).withColumnRenamed("host", "of_host")
     out = base.join(verdicts, base["host"].eqNullSafe(verdicts["of_host"]), "left")
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", (~F.col("rule_failed") & ~F.col("host_failed")).alias("kept"))
+
+
+def keep_documents(docs: DataFrame, host: str = "source") -> DataFrame:
+    """The documents that pass the rules and whose host passes, with all their columns. Texts are not shuffled unless failed hosts are many."""
+    failed = host_verdicts(measured(docs, host)).where("host_failed").select(F.col("host").alias("_failed_host"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for block in B.blocks(batch, key="text"):
+                m = measure(block)
+                keep.append((m["n_words"] >= LEAST_WORDS) & (100 * m["n_repeat_words"] <= MOST_REPEAT_PERCENT * m["n_words"]) & (10 * m["n_symbols"] <= MOST_SYMBOLS_PER_TEN_WORDS * m["n_words"]) & (100 * m["n_dup_lines"] <= MOST_DUP_LINES_PERCENT * m["n_lines"]))
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    passed = docs.mapInArrow(run, docs.schema)
+    return passed.join(failed, passed[host].cast("string").eqNullSafe(failed["_failed_host"]), "left_anti")
