@@ -56,8 +56,8 @@ class Files:
         out.close()
 
     def read_text(self, name: str) -> str:
-        rows = self.spark.read.option("wholetext", True).text(f"{self.path}/{name}").collect()
-        return rows[0]["value"] if rows else ""
+        rows = self.spark.read.format("binaryFile").load(f"{self.path}/{name}").select("content").collect()
+        return bytes(rows[0]["content"]).decode() if rows else ""
 
     def rename_to(self, other: str) -> bool:
         return self.fs.rename(self._jpath(self.path), self._jpath(other))
