@@ -102,8 +102,6 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def rows_by_document(doc: np.ndarray, payload: Callable[[int, int], bytes], start: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """doc sorted, start of each group: a row for each document."""
-    end = np.concatenate([start[1:], [len(doc)]])
-    for s, e in zip(start.tolist(), end.tolist(), strict=True):
-        yield int(doc[s]), payload(s, e)
+def spans(start: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Start and end of each group among n entries."""
+    return list(zip(start.tolist(), [*start[1:].tolist(), n][: len(start)], strict=True))

@@ -146,12 +146,12 @@ def _by_text(size: int, gram: int):
         marks, asked = X.arrays(table, REPLY, MARK), X.arrays(table, REPLY, SINGLE)
         rows: dict[int, list] = {}
         order, start = X.groups(marks["uid"])
-        for s, e in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
+        for s, e in X.spans(start, len(order)):
             k = order[s:e]
             at = marks["at"][k].astype(np.int64)
             rows[int(marks["uid"][k[0]])] = [ranges_bytes(np.maximum(at - (size - gram), 0), at + marks["right"][k]), None]
         order, start = X.groups(asked["uid"])
-        for s, e in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True):
+        for s, e in X.spans(start, len(order)):
             k = order[s:e]
             got = np.zeros(len(k), REQUEST)
             for f in REQUEST.names:
@@ -316,8 +316,7 @@ RANGE = {"uid": "<i8", "start": "<u4", "end": "<u4"}
 def _ranges(table: pa.Table) -> pa.Table:
     e = X.arrays(table, RANGE)
     order, start = X.groups(e["uid"])
-    cut = np.append(start[1:], len(order))
-    rows = [(int(e["uid"][order[s]]), ranges_bytes(e["start"][order[s:c]], e["end"][order[s:c]])) for s, c in zip(start.tolist(), cut.tolist(), strict=True)]
+    rows = [(int(e["uid"][order[s]]), ranges_bytes(e["start"][order[s:c]], e["end"][order[s:c]])) for s, c in X.spans(start, len(order))]
     return pa.table({"uid": pa.array([r[0] for r in rows], pa.int64()), "more": pa.array([r[1] for r in rows], pa.binary())})
 
 
