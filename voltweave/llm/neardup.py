@@ -192,37 +192,63 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return out.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(out.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def link_classes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between classes, enough to connect every component."""
-    spark = texts.sparkSession
-    texts = texts.select(F.col("rid").alias("node"), "text")
+def candidates(classes: DataFrame) -> WorkTable:
+    """band, node, centre and m (classes in the bucket) of every bucket of two classes or more."""
     banded = classes.select("node", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = WorkTable(banded.join(full, "band").select("band", "node", "centre", "m"), "buckets")
+    return WorkTable(banded.join(full, "band").select("band", "node", "centre", "m"), "buckets")
+
+
+def candidate_texts(texts: DataFrame, members: WorkTable) -> WorkTable:
+    """node and text of the classes in such buckets. All texts are shuffled here, once, and by the same plan at every size."""
+    wanted = members.read().select("node").distinct()
+    return WorkTable(texts.select(F.col("rid").alias("node"), "text").join(wanted.hint("merge"), "node"), "candidate-texts")
+
+
+def star_links(members: WorkTable, texts: WorkTable, size: int, percent: int) -> WorkTable:
+    """Confirmed links between each bucket's centre and its other classes."""
     pairs = WorkTable(members.read().where("node <> centre").select("node", "centre").distinct(), "candidates")
-    release(spark)
     sized = pairs.read().groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
     asked = pairs.read().join(sized, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node")
     asked = asked.union(sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("node")))
-    stars = WorkTable(asked.join(texts, "node").groupBy("centre", "part").applyInArrow(_confirm(size, percent), "a long, b long"), "links")
-    release(spark)
-    found = components(stars.read())
-    comps = WorkTable(found, "components")
-    # Buckets that still hold several components, each set of members once.
+    return WorkTable(asked.join(texts.read(), "node").groupBy("centre", "part").applyInArrow(_confirm(size, percent), "a long, b long"), "links")
+
+
+def buckets_apart(members: WorkTable, comps: WorkTable) -> WorkTable:
+    """band, node, comp and m of buckets that hold several components, each set of members once."""
     wide = members.read().where("m > 2").join(comps.read(), "node", "left").select("band", "node", "m", F.coalesce("comp", "node").alias("comp"))
     split = wide.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"), F.first("m").alias("m")).where("low <> high")
     split = split.groupBy("same", "m").agg(F.min("band").alias("band"))
-    wide = WorkTable(wide.drop("m").join(split.select("band", "m"), "band"), "apart")
-    if wide.read().isEmpty():
-        return stars.read()
+    return WorkTable(wide.drop("m").join(split.select("band", "m"), "band"), "apart")
+
+
+def links_apart(wide: WorkTable, texts: WorkTable, size: int, percent: int) -> WorkTable:
+    """Links between a bucket's components: all of the bucket in chunks, each with the bucket's smaller components."""
     counted = wide.read().groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = counted.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top")).select("band", F.col("top.comp").alias("top"))
     asked = wide.read().join(largest, "band").select("band", "node", "comp", (F.col("comp") != F.col("top")).alias("roam"), F.ceil(F.col("m") / (2 * CHUNK)).cast("int").alias("parts"))
     home = asked.select("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "comp", "roam")
     away = asked.where("roam AND parts > 1").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp", "roam")
-    links = WorkTable(home.union(away).join(texts, "node").groupBy("band", "part").applyInArrow(_apart(size, percent), "a long, b long"), "links")
+    return WorkTable(home.union(away).join(texts.read(), "node").groupBy("band", "part").applyInArrow(_apart(size, percent), "a long, b long"), "links")
+
+
+def link_classes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes, enough to connect every component. Each step's frames end with its call, so release() can drop their shuffle files."""
+    spark = texts.sparkSession
+    members = candidates(classes)
+    release(spark)
+    held = candidate_texts(texts, members)
+    release(spark)
+    stars = star_links(members, held, size, percent)
+    release(spark)
+    comps = WorkTable(components(stars.read()), "components")
+    wide = buckets_apart(members, comps)
+    if wide.read().isEmpty():
+        return stars.read()
+    links = links_apart(wide, held, size, percent)
+    held.drop()
     release(spark)
-    return found.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links.read())
+    return comps.read().select(F.col("node").alias("a"), F.col("comp").alias("b")).union(links.read())
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bins: int = 192, rows: int = ROWS) -> DataFrame:
