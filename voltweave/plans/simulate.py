@@ -1,9 +1,9 @@
 """The timestep loop as DataFrames.
 
 A step is one job: spikes of the last max_delay steps meet the edges whose delay brings them to now, are
-summed by target and joined to the state; the new state is written and cuts the lineage. Spikes reach an
-edge by (source, delay), so an edge is joined only at the step its spike arrives, and no table of pending
-arrivals is rewritten. Whether a sum of weights can leave 32 bits is proven once from the graph; where it
+summed by target and joined to the state; the new state is written and cuts the lineage. An edge counts
+only at the step its spike arrives, so no table of pending arrivals is rewritten. Edges are partitioned by
+source and states bucketed by id once: a step shuffles its spikes and partial sums, never the graph. Whether a sum of weights can leave 32 bits is proven once from the graph; where it
 can, every bucket is checked as it fills.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..config import INT32, UINT16_MAX, SimulationConfig
 from ..errors import ConfigurationError, FixedPointOverflowError, translated
 from ..functions.lif import advance, require_ansi
 from ..operators.graph import Graph, delay_bounds
-from ..work import written
+from ..work import bucketed
 
 DIGEST_CHUNK = 1 << 20
 
@@ -44,8 +45,9 @@ def initial_state(graph: Graph, given: DataFrame | None = None) -> DataFrame:
 
 def arrivals(spikes: DataFrame, edges: DataFrame, t: int) -> DataFrame:
     """target and current at step t. spikes: emit_t, id."""
-    sources = spikes.select(F.col("id").alias("source"), (F.lit(t) - F.col("emit_t")).cast("int").alias("delay"))
-    met = edges.select("source", "delay", "target", "weight").join(sources, ["source", "delay"])
+    sources = spikes.select(F.col("id").alias("source"), "emit_t")
+    # The delay is no join key, which would ask for edges partitioned by it as well.
+    met = edges.select("source", "delay", "target", "weight").join(sources, "source").where(F.col("emit_t") + F.col("delay") == t)
     return met.groupBy("target").agg(F.sum(F.col("weight").cast("long")).alias("current"))
 
 
@@ -162,7 +164,7 @@ class Stepper:
                 spikes = spikes.union(s)
             arrived = arrivals(spikes, self.graph.edges, t)
         try:
-            self.state = written(step(self.state.select("id", "v", "refr"), arrived, self.config), "state")
+            self.state = bucketed(step(self.state.select("id", "v", "refr"), arrived, self.config), "id", "state")
         except PySparkException as error:
             raise translated(error) from error
         self.states.append(self.state)
@@ -190,12 +192,14 @@ class Stepper:
 
 
 def simulate(graph: Graph, config: SimulationConfig, *, timesteps: int, initial: DataFrame | None = None, residency: str = "resident", strict: bool = False) -> SimulationResult:
-    """residency: resident keeps the edges in memory between steps, streamed scans them at each."""
+    """residency: resident keeps the edges in memory between steps, streamed scans a table of them at each; both partitioned by source."""
     if timesteps < 0:
         raise ConfigurationError("timesteps must not be negative")
     if residency not in ("resident", "streamed"):
         raise ConfigurationError(f"unknown residency: {residency}")
-    held = graph.resident() if residency == "resident" else graph
+    edges = graph.edges.select("source", "ord", "target", "weight", "delay")
+    edges = edges.repartition("source").persist(StorageLevel.MEMORY_AND_DISK) if residency == "resident" else bucketed(edges, "source", "edges")
+    held = Graph(graph.neurons, edges, graph.n, graph.block_size)
     try:
         stepper = Stepper(held, config, initial)
         for _ in range(timesteps):
@@ -208,4 +212,4 @@ def simulate(graph: Graph, config: SimulationConfig, *, timesteps: int, initial:
         return result
     finally:
         if residency == "resident":
-            held.edges.unpersist()
+            edges.unpersist()

@@ -25,7 +25,9 @@ from ..errors import ArtifactExistsError, ChecksumMismatchError, GraphFormatErro
 from ..operators.graph import Graph, block_descriptors, contiguity_violations, source_degrees, validate
 from . import blocks as codec
 
-FORMAT_ID, FORMAT_VERSION, BINARY_ID = "voltweave-graph", 1, "scx"
+FORMAT_ID, FORMAT_VERSION = "voltweave-graph", 1
+# Fixed value: the binary layout's name of itself.
+BINARY_ID = "scx"
 SHA = re.compile(r"[0-9a-f]{64}")
 DESCRIPTOR = ("filename", "source_start", "source_count", "edge_count", "byte_size", "sha256")
 
