@@ -72,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in B.blocks(batch):
             held.append(tokens(block)[0])
             size += len(held[-1])
-            if size >= 4 * GATHER:
+            if size >= 2 * GATHER:
                 yield flush()
                 held, size = [], 0
     yield flush()
@@ -100,7 +100,7 @@ class Table:
 
     def class_of(self, hashes: np.ndarray) -> np.ndarray:
         spot, known = self.find(hashes)
-        return np.where(known, self.classes[spot], REST_CLASS) if len(self.words) else np.full(len(hashes), REST_CLASS)
+        return np.where(known, self.classes[spot], np.uint8(REST_CLASS)) if len(self.words) else np.full(len(hashes), REST_CLASS, np.uint8)
 
 
 def _leaders(leaders: np.ndarray, words: np.ndarray):
@@ -130,19 +130,35 @@ def _leaders(leaders: np.ndarray, words: np.ndarray):
     return run
 
 
+def least_count(counts: DataFrame, most: int = TABLE_WORDS) -> int:
+    """The smallest count such that at most so many words reach it, by halving on one aggregate after another: one row each."""
+    low, high = 1, (counts.agg(F.max("n")).first()[0] or 0) + 1
+    while low < high:
+        points = sorted({low + (high - low) * k // 16 for k in range(16)})
+        row = counts.agg(*(F.count_if(F.col("n") >= p) for p in points)).first()
+        fits = [p for p, n in zip(points, row, strict=True) if n <= most]
+        short = [p for p, n in zip(points, row, strict=True) if n > most]
+        high = min([high, *fits])
+        low = max([low, *(p + 1 for p in short)])
+    return high
+
+
 def make_table(train: DataFrame, counts: DataFrame) -> Table:
     sums = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = sums["total"] or 0, sums["distinct"]
-    top = counts.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).toPandas()
+    # The least count of which the table holds all words: no task sends more than the table's own rows.
+    least = least_count(counts)
+    top = counts.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     words, count = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     model = np.flatnonzero(words[:MODEL_WORDS] != END)
     classes = np.full(len(words), REST_CLASS)
     if len(model):
         leaders = words[model[:LEADERS]]
-        led = train.mapInArrow(_leaders(leaders, words[model]), "rank long, lead long, n long").groupBy("rank", "lead").agg(F.sum("n").alias("n")).toPandas()
-        by = np.zeros((len(model), len(leaders)), np.int64)
-        by[led["rank"], led["lead"]] = led["n"]
-        order = np.lexsort((np.arange(len(model)), by.argmax(axis=1)))
+        led = train.mapInArrow(_leaders(leaders, words[model]), "rank long, lead long, n long").groupBy("rank", "lead").agg(F.sum("n").alias("n"))
+        led = led.groupBy("rank").agg(F.max(F.struct("n", (-F.col("lead")).alias("lead"))).alias("top")).select("rank", (-F.col("top.lead")).alias("lead")).toPandas()
+        best = np.zeros(len(model), np.int64)
+        best[led["rank"]] = led["lead"]
+        order = np.lexsort((np.arange(len(model)), best))
         mass = np.cumsum(np.sqrt(count[model[order]]))
         classes[model[order]] = np.minimum((mass - 1e-9) / mass[-1] * END_CLASS, END_CLASS - 1).astype(np.int64)
     classes[words == END] = END_CLASS
@@ -152,7 +168,7 @@ def make_table(train: DataFrame, counts: DataFrame) -> Table:
     shares[own] = np.log10(count[own] / in_class[classes[own]])
     rest = np.log10(total - int(count[own].sum()) + distinct - int(own.sum()) + 1)
     order = np.argsort(words)
-    return Table(words[order], count[order], classes[order], shares[order], total, distinct, float(rest))
+    return Table(words[order], count[order], classes[order].astype(np.uint8), shares[order], total, distinct, float(rest))
 
 
 class Network:
@@ -235,7 +251,7 @@ class Network:
         length = -(-len(classes) // lanes)
         pad = lanes * length - len(classes)
         weight = np.pad(np.ones(len(classes), np.float32), (0, pad)).reshape(lanes, length).T
-        given = np.where(first, START, np.append(START, classes[:-1]))
+        given = np.where(first, np.uint8(START), np.append(np.uint8(START), classes[:-1]))
         given, wanted = (np.pad(x, (0, pad)).reshape(lanes, length).T for x in (given, classes))
         keep = 1 - np.pad(first, (0, pad)).reshape(lanes, length).T.astype(np.float32)
         h = np.zeros((lanes, HIDDEN), np.float32)
@@ -322,11 +338,26 @@ def _score(sent, weights: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, net, task, row = sent.value, Network(weights), TaskContext.get().partitionId(), 0
         logs = np.log10(table.counts + 1.0)
+        names = [x.split()[0] for x in SCORED.split(", ")]
+        held: list[tuple[np.ndarray, np.ndarray, list[pa.Array]]] = []  # classes, document lengths, columns without the model's
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Many blocks make wide batches for the network; only their classes are kept for it, a byte a token."""
+            length = np.concatenate([x[1] for x in held])
+            got = net.score(np.concatenate([x[0] for x in held]), np.concatenate([[0], np.cumsum(length)]))
+            at = 0
+            for _, n, columns in held:
+                columns[names.index("model")] = pa.array(columns[names.index("model")] + got[at : at + len(n)])
+                yield pa.record_batch(columns, names=names)
+                at += len(n)
+            held.clear()
+
+        size = 0
         for batch in batches:
-            for block in B.blocks(batch, limit=16 * B.BLOCK_BYTES):
+            for block in B.blocks(batch):
                 hashes, at = tokens(block)
                 spot, known = table.find(hashes)
-                classes = np.where(known, table.classes[spot], REST_CLASS) if len(table.words) else np.full(len(hashes), REST_CLASS)
+                classes = table.class_of(hashes)
                 log = np.where(known, logs[spot], 0.0) if len(logs) else np.zeros(len(hashes))
                 share = np.where(classes == REST_CLASS, log - table.rest, table.shares[spot] if len(table.words) else 0.0)
                 doc = np.repeat(np.arange(len(block)), np.diff(at))
@@ -338,12 +369,16 @@ def _score(sent, weights: bytes):
                 begin = np.flatnonzero(new)
                 offsets = pa.array(np.searchsorted(of[begin], np.arange(len(block) + 1)).astype(np.int32))
                 sums = lambda x: np.bincount(doc, weights=x, minlength=len(block))  # noqa: B023, E731
-                yield pa.record_batch([
-                    pa.array((task << 40) + row + np.arange(len(block))), block.ids, block.column("held_out"), pa.array(np.diff(at)), pa.array(sums(known).astype(np.int64)),
-                    pa.array(sums(log)), pa.array(net.score(classes, at) + sums(share)),
+                held.append((classes, np.diff(at), [
+                    pa.array((task << 40) + row + np.arange(len(block))), block.ids, block.column("held_out"), pa.array(np.diff(at)), pa.array(sums(known).astype(np.int64)), pa.array(sums(log)), sums(share),
                     pa.ListArray.from_arrays(offsets, pa.array(word[begin].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.append(begin, len(word))).astype(np.int32))),
-                ], names=[x.split()[0] for x in SCORED.split(", ")])
-                row += len(block)
+                ]))
+                row, size = row + len(block), size + len(hashes)
+                if size >= 2 * GATHER:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
 
     return run
 
