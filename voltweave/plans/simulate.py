@@ -146,7 +146,7 @@ class Stepper:
         require_ansi(graph.spark)
         self.graph, self.config = graph, config
         self.max_delay = delay_bounds(graph.edges).first()["max_delay"] if max_delay is None else max_delay
-        self.start = self.state = initial_state(graph, initial)
+        self.start = self.state = bucketed(initial_state(graph, initial), "id", "state")
         self.states: list[DataFrame] = []
         self.open = False
         self.next_source = 0
@@ -164,7 +164,7 @@ class Stepper:
                 spikes = spikes.union(s)
             arrived = arrivals(spikes, self.graph.edges, t)
         try:
-            self.state = bucketed(step(self.state.select("id", "v", "refr"), arrived, self.config), "id", "state")
+            self.state = bucketed(step(self.state.select("id", "v", "refr"), arrived, self.config), "id", "state", arranged=True)
         except PySparkException as error:
             raise translated(error) from error
         self.states.append(self.state)

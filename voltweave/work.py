@@ -27,12 +27,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, by: str, label: str) -> DataFrame:
-    """df as a table bucketed by a column: joins and aggregates by it need no shuffle of its rows. The files lie in the shared folder, the name in the session's catalog."""
+def bucketed(df: DataFrame, by: str, label: str, arranged: bool = False) -> DataFrame:
+    """df as a table bucketed by a column: joins and aggregates by it need no shuffle of its rows. The files lie in the shared folder, the name in the session's catalog.
+
+    arranged: df comes from such a table's rows by joins on that column, so that its tasks hold a bucket each and are written as they are.
+    """
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/voltweave/{name}"
-    df.repartition(n, by).write.option("path", path).bucketBy(n, by).saveAsTable(name)
+    (df if arranged else df.repartition(n, by)).write.option("path", path).bucketBy(n, by).saveAsTable(name)
     return spark.table(name)
 
 
