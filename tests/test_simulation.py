@@ -29,7 +29,7 @@ def test_golden_spike_train(spark, residency):
     assert [(x["v"], x["refr"]) for x in r.final_state.orderBy("id").collect()] == [(0, 0), (0, 0), (-5062, 0), (0, 1)]
     flat = bytes(x for row in matrix(r) for x in row)
     assert r.spike_count == 3 and r.spike_digest == hashlib.sha256(flat).hexdigest() == "475b670dc697419ff0aab7d67ebffe5e0dd90a783af4e409c53611e84afd48a9"
-    assert r.spike_matrix.count() == 16
+    assert r.spike_matrix.count() == 16 and tuple(r.final_nonzero.first()) == (1, 1)
 
 
 def plain(n, rows, config, steps, v, refr):

@@ -109,6 +109,11 @@ class SimulationResult:
     def final_state(self) -> DataFrame:
         return (self.states[-1] if self.states else self.start).select("id", "v", "refr")
 
+    @property
+    def final_nonzero(self) -> DataFrame:
+        """How many nodes end with a potential, and with refractory steps left."""
+        return self.final_state.agg(F.count_if(F.col("v") != 0).alias("potentials"), F.count_if(F.col("refr") != 0).alias("refractory"))
+
     @property
     def step_summary(self) -> DataFrame:
         """t, spikes, sum_v, sum_refr of every step, steps without spikes included."""
