@@ -191,7 +191,7 @@ def _hits(table: pa.Table) -> pa.Table:
     got = np.zeros(len(order), HIT)
     got["key"], got["at"], rid = e["key"][order], e["at"][order], e["rid"][order]
     _, start = X.groups(rid)
-    rows = [(int(rid[s]), got[s:c].tobytes()) for s, c in zip(start.tolist(), np.append(start[1:], len(rid)).tolist(), strict=True)]
+    rows = [(int(rid[s]), got[s:c].tobytes()) for s, c in X.spans(start, len(rid))]
     return pa.table({"rid": pa.array([r[0] for r in rows], pa.int64()), "hits": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -273,7 +273,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def _ranges(table: pa.Table) -> pa.Table:
     e = X.arrays(table, RANGE)
     order, start = X.groups(e["rid"])
-    rows = [(int(e["rid"][order[s]]), merged(e["start"][order[s:c]], e["end"][order[s:c]]).astype("<u4").tobytes()) for s, c in zip(start.tolist(), np.append(start[1:], len(order)).tolist(), strict=True)]
+    rows = [(int(e["rid"][order[s]]), merged(e["start"][order[s:c]], e["end"][order[s:c]]).astype("<u4").tobytes()) for s, c in X.spans(start, len(order))]
     return pa.table({"rid": pa.array([r[0] for r in rows], pa.int64()), "ranges": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -291,6 +291,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:2]), pa.array(columns[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def _find_hits(texts: DataFrame, buckets: int, size: int) -> WorkTable:
+    """The first step's result. Its frames end with this call, so release() can drop their shuffle files."""
+    names = texts.select("rid", "text").mapInArrow(_names(buckets, size), X.schema(NAME))
+    shared = X.reduce_buckets(names, _shared(buckets), X.schema(NAME))
+    return WorkTable(X.reduce_buckets(shared, _hits, "rid long, hits binary"), "recompression-hits")
+
+
+def _find_ranges(texts: DataFrame, hits: WorkTable, buckets: int, size: int) -> WorkTable:
+    """The second step's result; its frames end with this call."""
+    known = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID))).join(hits.read(), "rid")
+    send, fields = _windows(buckets, size)
+    windows = known.mapInArrow(send, X.schema(fields))
+    verified = X.reduce_buckets(windows, _verify(buckets, size, fields), X.schema(RANGE))
+    return WorkTable(X.reduce_buckets(verified, _ranges, "rid long, ranges binary"), "recompression-ranges")
+
+
 def remove_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """One row per document; needs doc_id and text, ignores all other columns. size: 3 to 15 words."""
     if not 3 <= size <= 15:
@@ -299,15 +315,9 @@ def remove_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     buckets = bucket_count(docs)
     key = F.col("doc_id").cast("long")
     texts = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(key, F.col("text"), F.octet_length("text")).alias("rid"))
-    names = texts.select("rid", "text").mapInArrow(_names(buckets, size), X.schema(NAME))
-    shared = X.reduce_buckets(names, _shared(buckets), X.schema(NAME))
-    hits = WorkTable(X.reduce_buckets(shared, _hits, "rid long, hits binary"), "recompression-hits")
+    hits = _find_hits(texts, buckets, size)
     release(spark)
-    known = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID))).join(hits.read(), "rid")
-    send, fields = _windows(buckets, size)
-    windows = known.mapInArrow(send, X.schema(fields))
-    verified = X.reduce_buckets(windows, _verify(buckets, size, fields), X.schema(RANGE))
-    ranges = WorkTable(X.reduce_buckets(verified, _ranges, "rid long, ranges binary"), "recompression-ranges")
+    ranges = _find_ranges(texts, hits, buckets, size)
     hits.drop()
     release(spark)
     return texts.join(ranges.read(), "rid", "left").select("doc_id", "text", "ranges").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")

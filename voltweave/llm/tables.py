@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,9 +44,11 @@ class WorkTable:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of finished jobs, which it does when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete shuffle files of finished jobs, which it does when their handles are collected: first Python's, whose end frees the JVM's in a second round."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def plan_bytes(df: DataFrame) -> int:
