@@ -51,11 +51,20 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of a plan: file bytes for a scan. No job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: What Spark reports for a source whose size it does not know is of this order.
+UNKNOWN_BYTES = 1 << 60
+
+
+def source_bytes(df: DataFrame) -> int | None:
+    """Bytes of the tables that a plan reads, None if Spark does not know one of them. No job runs. Joins and filters between do not count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return None if any(n >= UNKNOWN_BYTES for n in sizes) else sum(sizes)
 
 
 def bucket_count(df: DataFrame, bytes_each: int = 4 << 20, least: int = 16) -> int:
-    """Hash buckets for an exchange, in proportion to the input, so that a bucket's size stays the same at every scale."""
-    return max(least, -(-plan_bytes(df) // bytes_each))
+    """Hash buckets for an exchange, in proportion to the input, so that a bucket's size stays the same at every scale; four for each shuffle partition where the input's size is unknown."""
+    size = source_bytes(df)
+    if size is None:
+        return max(least, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, -(-size // bytes_each))
