@@ -25,7 +25,7 @@ from .tables import WorkTable
 LEAST_WORDS = 10
 MOST_REPEAT_PERCENT = 20
 MOST_SYMBOLS_PER_TEN_WORDS = 1
-MOST_DUP_LINES_PERCENT = 30
+MOST_DUP_LINES_PERCENT = 50
 HOST_LIMIT = 0.5
 #: Bounds of the prior's strength, in documents.
 STRENGTH = (2.0, 1000.0)

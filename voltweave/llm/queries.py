@@ -125,7 +125,7 @@ WITH t AS (
 ), b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
 ), v AS (
-  SELECT *, base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines AS rule_failed FROM b
+  SELECT *, base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines AS rule_failed FROM b
 ), h AS (
   SELECT source, count(*) AS n, sum(rule_failed::INT) AS failed FROM v GROUP BY source
 ), s AS (
