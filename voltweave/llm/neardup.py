@@ -195,8 +195,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def candidates(classes: DataFrame) -> WorkTable:
     """band, node, centre and m (classes in the bucket) of every bucket of two classes or more."""
     banded = classes.select("node", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    return WorkTable(banded.join(full, "band").select("band", "node", "centre", "m"), "buckets")
+    full = WorkTable(banded.groupBy("band").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("m")).where("m > 1"), "centres")
+    # Of a table, not of an aggregate: Spark can then split the classes of a hot band among tasks.
+    return WorkTable(banded.join(full.read(), "band").select("band", "node", "centre", "m"), "buckets")
 
 
 def candidate_texts(texts: DataFrame, members: WorkTable) -> WorkTable:
