@@ -72,6 +72,40 @@ def test_without_an_article_element():
     assert html.extract(page).startswith("Paragraph number 0") and html.extract(page).endswith("ends here.") and "Related" not in html.extract(page)
 
 
+def long_text(k, n=12):
+    return f"Part {k} has a good many words in it, " * n + "and ends here."
+
+
+@pytest.mark.parametrize("start, end", [("<div>", "</div>"), ("<section>", "</section>"), ("<table><tr><td>", "</td></tr></table>"), ("<blockquote>", "</blockquote>")])
+@pytest.mark.parametrize("n", [2, 6, 40])
+def test_every_part_of_a_page_is_kept(start, end, n):
+    body = "".join(f"{start}<p>{long_text(k)}</p>{end}" for k in range(n))
+    menu = "<div><a href=1>Home</a></div><div><a href=2>More</a></div>"
+    wanted = " ".join(long_text(k) for k in range(n))
+    assert html.extract(f"<html><body>{menu}{body}{menu}<footer>Foot</footer></body></html>") == wanted
+    assert html.extract(f"<html><body>{menu}<div>{body}</div><div class=sidebar><p>{long_text(99)}</p></div></body></html>") == wanted
+
+
+def test_a_page_of_text_alone_is_kept_whole():
+    for sizes in ([9] * 6, [60, 9, 9, 9, 9, 9, 9], range(1, 20)):
+        parts = "".join(f"<div><p>{long_text(k, n)}</p></div>" for k, n in enumerate(sizes))
+        wanted = " ".join(long_text(k, n) for k, n in enumerate(sizes))
+        assert html.extract(f"<body>{parts}</body>") == html.extract(f"<body><nav><a href=1>Home</a></nav>{parts}<footer>Foot</footer></body>") == wanted
+
+
+def test_every_article_of_a_page_is_kept():
+    parts = "".join(f"<article><h2>T{k}</h2><p>{long_text(k)}</p></article>" for k in range(7))
+    wanted = " ".join(f"T{k} {long_text(k)}" for k in range(7))
+    assert html.extract(f"<body><nav><a href=1>Home</a></nav><main>{parts}</main></body>") == html.extract(f"<body>{parts}</body>") == wanted
+
+
+def test_small_parts_between_large_ones_are_kept():
+    sizes = [1, 40, 2, 0, 20, 1, 3, 30, 1]
+    parts = "".join(f"<div><p>{long_text(k, n)}</p></div>" for k, n in enumerate(sizes))
+    wanted = " ".join(long_text(k, n) for k, n in enumerate(sizes))
+    assert html.extract(f"<body><div><a href=1>Home</a><a href=2>More</a></div><div class=x>{parts}</div></body>") == html.extract(f"<body>{parts}</body>") == wanted
+
+
 def test_table(spark, small):
     got = html.extract_text(spark.read.parquet(f"{small}/pages.parquet").selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) > 0 for r in got)

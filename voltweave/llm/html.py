@@ -1,10 +1,12 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams a page's events once. Block tags end a line; a line has its text and
-the tags met since the last one. Smoothed ratios of characters to tags are split into two clusters, and the
-containers that hold the high cluster are the content regions: all lines of a region are kept, in page
-order, except those in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments.
+the tags met since the last one. The logarithms of the smoothed ratios of characters to tags are split into two clusters. A
+container that holds a line of the high cluster is a content region, however small its share, and all its
+lines are kept, in page order. So are the other lines of the smallest container around all content regions,
+for a short section between long ones is content too; there, lines that are mostly links are menus and go.
+Lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+never kept.
 
 Defined cases: a null or empty page has an empty text; a page without markup is one line; repeated rows repeat.
 """
@@ -32,17 +34,21 @@ BOILERPLATE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 #: Width of the Gaussian in lines.
 SIGMA = 1.0
+#: Clusters whose mean ratios are closer than this factor are one: a page of text alone has no low cluster.
+APART = 4.0
 
 
 class Lines(HTMLParser):
-    """lines: (text, tags, region, best region, dropped). A region is a number in order of its start."""
+    """lines: (text, tags, region, best region, dropped, mostly links). A region is a number in order of its start; parent: the region around each."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
         self.open: list[tuple[str, bool, int, int]] = [("", False, 0, -1)]  # tag, dropped, region, enclosing article or main
         self.parts: list[str] = []
-        self.tags = self.regions = 0
+        self.parent = [-1]
+        self.tags = self.linked = 0
+        self.link = False
 
     def end_line(self) -> None:
         if self.parts:
@@ -50,8 +56,9 @@ class Lines(HTMLParser):
             self.parts = []
             if text:
                 _, dropped, region, best = self.open[-1]
-                self.lines.append((text, self.tags, region, best, dropped))
+                self.lines.append((text, self.tags, region, best, dropped, 2 * self.linked > len(text)))
                 self.tags = 0
+            self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -60,6 +67,8 @@ class Lines(HTMLParser):
             else:
                 self.end_line()
         self.tags += 1
+        if tag == "a":
+            self.link = any(key == "href" for key, _ in attrs)
         if tag in VOID:
             return
         top, dropped, region, best = self.open[-1]
@@ -78,8 +87,8 @@ class Lines(HTMLParser):
         out = named or tag in DROPPED and not (tag == "header" and best >= 0)
         if tag in NESTED or out:
             if tag in REGION:
-                self.regions += 1
-                region = self.regions
+                self.parent.append(region)
+                region = len(self.parent) - 1
             if tag in ("article", "main") and not (tag == "main" and best >= 0):
                 best = region
             self.open.append((tag, dropped or out, region, best))
@@ -92,6 +101,8 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.end_line()
+        if tag == "a" or tag in BLOCK:  # also where a link was never closed
+            self.link = False
         self.tags += 1
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
@@ -100,9 +111,11 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.link:
+            self.linked += len(" ".join(data.split()))
 
 
-def parse(page: str) -> list[tuple[str, int, int, int, bool]]:
+def parse(page: str) -> tuple[list[tuple[str, int, int, int, bool, bool]], list[int]]:
     for text in (page, page.replace("<![", "&lt;![")):
         parser = Lines()
         try:
@@ -111,8 +124,8 @@ def parse(page: str) -> list[tuple[str, int, int, int, bool]]:
         except AssertionError:  # a marked section that the parser refuses; read as text instead
             continue
         parser.end_line()
-        return parser.lines
-    return []
+        return parser.lines, parser.parent
+    return [], [-1]
 
 
 def smooth(values: np.ndarray) -> np.ndarray:
@@ -123,7 +136,8 @@ def smooth(values: np.ndarray) -> np.ndarray:
 
 
 def high_cluster(values: np.ndarray) -> np.ndarray:
-    """The upper of two clusters on a line, by alternating means and their midpoint; all where there is one value."""
+    """The upper of two clusters of ratios, by alternating means of their logarithms and the midpoint; all where there is one value or cluster."""
+    values = np.log1p(values)
     low, high = values.min(), values.max()
     if low == high:
         return np.ones(len(values), bool)
@@ -134,28 +148,38 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
         if new == limit:
             break
         limit = new
-    return values >= limit
+    upper = values >= limit
+    return upper if values[upper].mean() - values[~upper].mean() >= np.log(APART) else np.ones(len(values), bool)
+
+
+def around(regions: set[int], parent: list[int]) -> set[int]:
+    """The smallest region that contains all of these, and all regions in it. A region's number is above its parent's."""
+    left = set(regions)
+    while len(left) > 1:
+        last = max(left)
+        left.remove(last)
+        left.add(parent[last])
+    inside = left
+    for k in range(min(left) + 1, len(parent)):
+        if parent[k] in inside:
+            inside.add(k)
+    return inside
 
 
 def extract(page: str | None) -> str:
-    lines = parse(page or "")
+    lines, parent = parse(page or "")
     usable = [x for x in lines if not x[4]]
     if not usable:
         return ""
-    ratio = np.array([0.0 if dropped else len(text) / max(tags, 1) for text, tags, _, _, dropped in lines])
-    high = high_cluster(smooth(ratio))
-    weight: dict[int, int] = {}
-    for (text, _, region, best, dropped), hot in zip(lines, high, strict=True):
-        if hot and not dropped:
-            home = best if best >= 0 else region
-            weight[home] = weight.get(home, 0) + len(text)
-    if not weight:  # the high cluster holds dropped lines only
-        for text, _, region, best, _ in usable:
-            home = best if best >= 0 else region
-            weight[home] = weight.get(home, 0) + len(text)
-    total = sum(weight.values())
-    chosen = {k for k, w in weight.items() if 5 * w >= total} or {max(weight, key=weight.get)}
-    return " ".join(text for text, _, region, best, _ in usable if (best if best >= 0 else region) in chosen)
+    ratio = np.array([0.0 if dropped else len(text) / max(tags, 1) for text, tags, _, _, dropped, _ in lines])
+    level = smooth(ratio)
+    high = high_cluster(level)
+    own = ratio >= level[high].min()  # a line of links counts by itself, not by the text beside it
+    hot = [x for x, h in zip(lines, high, strict=True) if h and not x[4]] or usable  # the high cluster may hold dropped lines only
+    home = lambda x: x[3] if x[3] >= 0 else x[2]
+    content = {home(x) for x, h, o in zip(lines, high, own, strict=True) if h and not x[4] and (o or not x[5])} or {home(x) for x in hot}
+    inside = around(content, parent)
+    return " ".join(x[0] for x in usable if home(x) in content or home(x) in inside and not x[5])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
