@@ -37,6 +37,34 @@ def test_overlaps_tolerate_substitutions_and_leave_clean_text(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6, 7]
 
 
+def test_agreeing_tokens_beside_an_overlap_do_not_hide_it(spark):
+    item = [f"i{k}" for k in range(150)]
+    other = lambda n: [f"d{k}" for k in range(n)]
+    short = other(20) + item[20:33] + other(4) + item[37:38] + other(20)
+    loose = other(5) + item[10:70] + [w if k % 2 else "z" for k, w in enumerate(item[70:130])] + other(5)
+    got = decontaminate.find_overlaps(documents(spark, [(1, " ".join(short)), (2, " ".join(loose))]), bench(spark, [(70, " ".join(item))]))
+    found = {r["doc_id"]: tuple(r)[2:] for r in got.collect()}
+    assert found[1] == (20, 13, 13)
+    assert found[2][0] == 5 and found[2][2] > 60 and 5 * found[2][2] >= 4 * found[2][1]
+
+
+def test_best_stretch_equals_plain_search():
+    rng = np.random.default_rng(3)
+    for least in (1, 5, 13):
+        for share in (0.4, 0.6, 0.8, 0.95):
+            for _ in range(60):
+                agree = rng.random(45) < share
+                hits = np.flatnonzero(agree).tolist()
+                chain = {h: k for k, h in enumerate(hits)}
+                cut = [0] + [k for k in range(1, len(hits)) if hits[k] - hits[k - 1] > decontaminate.DROP + 1] + [len(hits)]
+                wanted = []
+                for a, b in zip(cut, cut[1:], strict=False):
+                    all_ = [(s, e - s + 1, chain[e] - chain[s] + 1) for s in hits[a:b] for e in hits[a:b] if e >= s]
+                    good = [x for x in all_ if x[1] >= least and 100 * x[2] >= decontaminate.AGREE_PERCENT * x[1]]
+                    wanted += [min(good, key=lambda x: (-x[2], x[0]))] if good else []
+                assert decontaminate.stretches(agree, least) == wanted
+
+
 def test_blocks_of_items_give_the_same_overlaps(spark, small):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     once, many = (sorted(map(tuple, decontaminate.find_overlaps(docs, items, n).collect())) for n in (1 << 20, 700))

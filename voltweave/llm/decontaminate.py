@@ -2,8 +2,9 @@
 
 A mask is a fixed pattern of token positions of which some are ignored, so a seed survives substitutions at
 those positions. The seeds of every benchmark item are joined with the seeds of all documents; around each
-hit the item and the document are compared token by token on the hit's diagonal, and a stretch counts if it
-is long enough and at least the stated share of its tokens agree.
+hit the item and the document are compared token by token on the hit's diagonal, and any stretch counts that
+begins and ends with an agreeing token, has at most DROP others in a row, is long enough, and has at least
+the stated share of its tokens agreeing; agreeing tokens beside it never take it away.
 
 Benchmark items travel to the tasks in blocks of a checked size, one pass over the documents for each
 block, so what is broadcast never grows with either table. A document's evidence stays in the task that
@@ -96,20 +97,28 @@ class Seeds:
             text, other = tokens[found.at[doc] : found.at[doc + 1]], self.tokens[self.at[item] : self.at[item + 1]]
             low, high = max(0, diagonal), min(len(text), diagonal + len(other))
             agree = text[low:high] == other[low - diagonal : high - diagonal]
-            for s, e in stretches(agree):
-                n = int(agree[s:e].sum())
-                if e - s >= min(LEAST_TOKENS, len(other)) and 100 * n >= AGREE_PERCENT * (e - s) and n > best.get((doc, item), (0, 0, 0))[2]:
-                    best[doc, item] = (low + s, e - s, n)
+            for start, length, n in stretches(agree, min(LEAST_TOKENS, len(other))):
+                if n > best.get((doc, item), (0, 0, 0))[2]:
+                    best[doc, item] = (low + start, length, n)
         return best
 
 
-def stretches(agree: np.ndarray) -> list[tuple[int, int]]:
-    """Longest pieces that begin and end with an agreeing token and have at most DROP others in a row."""
+def stretches(agree: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Start, length and agreeing tokens of the best stretch of each chain, a longest piece with at most DROP others in a row."""
     hits = np.flatnonzero(agree)
-    if not len(hits):
-        return []
-    gaps = np.flatnonzero(np.diff(hits) > DROP + 1)
-    return list(zip(hits[np.concatenate([[0], gaps + 1])].tolist(), (hits[np.concatenate([gaps, [len(hits) - 1]])] + 1).tolist(), strict=True))
+    out = []
+    for h in np.split(hits, np.flatnonzero(np.diff(hits) > DROP + 1) + 1):
+        if not len(h) or 100 * len(h) < AGREE_PERCENT * least:
+            continue
+        # Hits i to j are a stretch if value[j] >= value[i] - spare; the last such j is the longest for i.
+        value, spare = 100 * np.arange(len(h)) - AGREE_PERCENT * h, 100 - AGREE_PERCENT
+        later = np.maximum.accumulate(value[::-1])[::-1]
+        last = np.searchsorted(-later, spare - value, side="right") - 1
+        n = np.where(h[last] - h + 1 >= least, last - np.arange(len(h)) + 1, 0)
+        k = int(n.argmax())
+        if n[k]:
+            out.append((int(h[k]), int(h[last[k]] - h[k] + 1), int(n[k])))
+    return out
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
