@@ -1,6 +1,7 @@
 """Operators 2, 4, 6, 8 and 9 on documents."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -48,6 +49,47 @@ def test_agreeing_tokens_beside_an_overlap_do_not_hide_it(spark):
     assert found[2][0] == 5 and found[2][2] > 60 and 5 * found[2][2] >= 4 * found[2][1]
 
 
+def test_every_accepted_substitution_has_a_seed():
+    percent, bits = decontaminate.AGREE_PERCENT, [int(m, 2) for m in decontaminate.MASKS]
+    # Long items: the best score of a pattern without a seed, by its last positions, for each length.
+    width = max(map(len, decontaminate.MASKS)) - 1
+    states, best = np.arange(1 << width), np.full(1 << width, -(10**9))
+    best[1] = 100 - percent
+    for length in range(2, 400):
+        new = np.full_like(best, -(10**9))
+        for bit, score in ((0, -percent), (1, 100 - percent)):
+            seen = states << 1 | bit
+            free = ~np.logical_or.reduce([(seen & b) == b for b in bits])
+            np.maximum.at(new, (seen & ((1 << width) - 1))[free], (best + score)[free])
+        best = new
+        assert length < decontaminate.LEAST_TOKENS or best[1::2].max() < 0, length
+    assert sorted(decontaminate.SHORT_MASKS) == list(range(1, decontaminate.LEAST_TOKENS))
+    for n, masks in decontaminate.SHORT_MASKS.items():
+        for r in range(n * (100 - percent) // 100 + 1):
+            for gone in itertools.combinations(range(1, n - 1), r):
+                kept = "".join("0" if k in gone else "1" for k in range(n))
+                assert any((int(kept[o : o + len(m)], 2) & int(m, 2)) == int(m, 2) for m in masks for o in range(n - len(m) + 1)), kept
+
+
+def test_short_items_match_as_a_whole(spark):
+    items, rows, wanted = [], [], set()
+    for n in [*range(1, 13), 15]:
+        item = [f"n{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for r in range(n // 5 + 1):
+            for gone in itertools.combinations(range(1, n - 1), r):
+                text = ["other"] * 3 + item[: n - 1] + ["other"] * 2 + ["sub" if k in gone else w for k, w in enumerate(item)] + ["end"]
+                rows.append((len(rows), " ".join(text)))
+                wanted.add((len(rows) - 1, n, n + 4, n, n - r))
+        for cut in ([item[1:], item[:-1]] if n > 1 else []):
+            rows.append((len(rows), " ".join(["other", *cut, "end"])))
+    got = {tuple(r) for r in decontaminate.find_overlaps(documents(spark, rows), bench(spark, items)).collect()}
+    assert {x for x in got if x[1] < 13} == {x for x in wanted if x[1] < 13}
+    assert {x[:2] for x in wanted} <= {x[:2] for x in got}
+    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(documents(spark, rows), bench(spark, items)).collect()}
+    assert kept == {k for k, _ in rows} - {x[0] for x in got}
+
+
 def test_best_stretch_equals_plain_search():
     rng = np.random.default_rng(3)
     for least in (1, 5, 13):

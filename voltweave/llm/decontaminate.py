@@ -12,9 +12,12 @@ reads the document: nothing is shuffled.
 
 Tokens are runs of ASCII letters and digits and of bytes above 127, with A-Z lower-cased.
 
-Defined cases: null or empty texts and items have no tokens and match nothing; items shorter than the
-shortest mask are compared by no seed and match nothing; repeated rows repeat; of stretches of one item
-in one document the one with most agreeing tokens is returned, ties by the smallest start.
+The masks leave no accepted pattern of substitutions without a seed: those for long items none of any length
+from 13 tokens, those for shorter items none of the whole item, which has to agree at both ends.
+
+Defined cases: null or empty texts and items have no tokens and match nothing; items of fewer than 13 tokens,
+one token included, match as a whole; repeated rows repeat; of stretches of one item in one document the one
+with most agreeing tokens is returned, ties by the smallest start.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 
 # The masks; 1 is a position that must agree.
-MASKS = ("111111", "1101011001", "11001010011", "1011000010111")
+MASKS = ("111111", "1101011001", "11001010011", "1011000010111", "110010111")
+#: Masks of items of so many tokens; all below LEAST_TOKENS.
+SHORT_MASKS = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("11",), 6: ("111",), 7: ("111",)} | {n: ("1111", "1100101") for n in range(8, 13)}
 #: Least tokens of a stretch (or the whole item where that is shorter), and the percent that must agree.
 LEAST_TOKENS = 13
 AGREE_PERCENT = 80
@@ -68,20 +73,45 @@ class Seeds:
             self.ids += block.ids.to_pylist()
         self.tokens = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
         self.at = np.array(at)
-        found = [seeds(self.tokens, self.at, m, k) for k, m in enumerate(MASKS)]
-        keys, where = np.concatenate([x[1] for x in found]), np.concatenate([x[0] for x in found])
+        self.size = np.diff(self.at)
+        self.masks, found = [], []
+        for k, mask in enumerate(dict.fromkeys((*MASKS, *(m for x in SHORT_MASKS.values() for m in x)))):
+            start, key = seeds(self.tokens, self.at, mask, k)
+            takes = np.array([mask in SHORT_MASKS.get(n, ()) for n in range(LEAST_TOKENS)] + [mask in MASKS])
+            used = takes[np.minimum(self.size, LEAST_TOKENS)[self.item(start)]]
+            if used.any():
+                self.masks.append((k, mask))
+                found.append((start[used], key[used]))
+        keys, where = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, t) for i, t in ((1, np.uint64), (0, np.int64)))
         order = np.argsort(keys, kind="stable")
         self.keys, self.where = keys[order], where[order]
         self.bits = 1 << max(16, int(len(keys) * 16).bit_length())
         self.table = np.zeros(self.bits, bool)
         self.table[(self.keys & B.U64(self.bits - 1)).astype(np.int64)] = True
 
+    def item(self, where: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.at, where, side="right") - 1
+
+    def whole(self, tokens: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[tuple[int, int], tuple[int, int, int]]]:
+        """The best stretch of each document and short item of these hits: the item as a whole, agreeing at both ends."""
+        size = self.size[item]
+        inside = (diagonal >= 0) & (diagonal + size <= np.diff(at)[doc])
+        doc, item, diagonal, size = (x[inside] for x in (doc, item, diagonal, size))
+        here, there = at[doc] + diagonal, self.at[item]
+        n = sum(((size > k) & (tokens[np.minimum(here + k, here + size - 1)] == self.tokens[np.minimum(there + k, there + size - 1)])).astype(np.int64) for k in range(LEAST_TOKENS - 1))
+        good = (100 * n >= AGREE_PERCENT * size) & (tokens[here] == self.tokens[there]) & (tokens[here + size - 1] == self.tokens[there + size - 1])
+        doc, item, diagonal, size, n = (x[good] for x in (doc, item, diagonal, size, n))
+        order = np.lexsort((diagonal, -n, item, doc))
+        first = order[np.concatenate([[True], (np.diff(doc[order]) != 0) | (np.diff(item[order]) != 0)])] if len(order) else order
+        for d, i, s, e, m in zip(*(x[first].tolist() for x in (doc, item, diagonal, size, n)), strict=True):
+            yield (d, i), (s, e, m)
+
     def matches(self, block: B.Block) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document row, item row) -> (start token, aligned, agreeing) of the best stretch."""
         found = B.words(block, B.NOT_ALNUM)
         tokens = B.word_hashes(block, found, lower=True)
-        pairs = set()
-        for k, mask in enumerate(MASKS):
+        pairs, short = set(), []
+        for k, mask in self.masks:
             start, keys = seeds(tokens, found.at, mask, k)
             near = np.flatnonzero(self.table[(keys & B.U64(self.bits - 1)).astype(np.int64)])
             if not len(near):
@@ -90,9 +120,15 @@ class Seeds:
             hit = np.flatnonzero(high > low)
             where = self.where[B.ragged(low[hit], (high - low)[hit])]
             place = np.repeat(start[near[hit]], (high - low)[hit])
-            doc, item = np.searchsorted(found.at, place, side="right") - 1, np.searchsorted(self.at, where, side="right") - 1
-            pairs |= set(zip(doc.tolist(), item.tolist(), (place - found.at[doc] - where + self.at[item]).tolist(), strict=True))
+            doc, item = np.searchsorted(found.at, place, side="right") - 1, self.item(where)
+            diagonal = place - found.at[doc] - where + self.at[item]
+            if mask in MASKS:
+                pairs |= set(zip(doc.tolist(), item.tolist(), diagonal.tolist(), strict=True))
+            else:
+                short.append((doc, item, diagonal))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if short:
+            best.update(self.whole(tokens, found.at, *(np.concatenate(x) for x in zip(*short, strict=True))))
         for doc, item, diagonal in sorted(pairs):
             text, other = tokens[found.at[doc] : found.at[doc + 1]], self.tokens[self.at[item] : self.at[item + 1]]
             low, high = max(0, diagonal), min(len(text), diagonal + len(other))
