@@ -49,6 +49,14 @@ def test_agreeing_tokens_beside_an_overlap_do_not_hide_it(spark):
     assert found[2][0] == 5 and found[2][2] > 60 and 5 * found[2][2] >= 4 * found[2][1]
 
 
+def test_items_without_an_id_take_documents_out(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = documents(spark, [(1, "a b " + item), (2, "clean text"), (3, "say tiny words")], extra=True)
+    kept = decontaminate.drop_contaminated(docs, bench(spark, [(None, item), (None, "tiny words"), (None, None), (7, "other")]))
+    assert [r["doc_id"] for r in kept.collect()] == [2]
+    assert decontaminate.drop_contaminated(docs, bench(spark, [(None, None)])).count() == 3
+
+
 def test_every_accepted_substitution_has_a_seed():
     percent, bits = decontaminate.AGREE_PERCENT, [int(m, 2) for m in decontaminate.MASKS]
     # Long items: the best score of a pattern without a seed, by its last positions, for each length.

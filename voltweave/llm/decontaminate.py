@@ -17,7 +17,8 @@ from 13 tokens, those for shorter items none of the whole item, which has to agr
 
 Defined cases: null or empty texts and items have no tokens and match nothing; items of fewer than 13 tokens,
 one token included, match as a whole; repeated rows repeat; of stretches of one item in one document the one
-with most agreeing tokens is returned, ties by the smallest start.
+with most agreeing tokens is returned, ties by the smallest start. Documents that overlap an item whose item_id
+is null are dropped like any other; find_overlaps() reports pairs of ids and leaves out items without one.
 """
 
 from __future__ import annotations
@@ -163,13 +164,13 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tu
     passes = -(-size // block_bytes) or 1
     for k in range(passes):
         part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect() if r["item_id"] is not None]
+        yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id and the best stretch of each pair that overlaps; uses doc_id, text, item_id, and no other column."""
     out = None
-    for items in benchmark_blocks(benchmark, block_bytes):
+    for items in benchmark_blocks(benchmark.where("item_id IS NOT NULL"), block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
