@@ -121,6 +121,27 @@ def test_near_on_the_table_with_five_words(spark, table_rows):
     same(got.select("doc_id", "n_shingles", "component_id", "kept").collect(), near(table_rows, 5, 80))
 
 
+def test_roaming_classes_of_a_bucket_come_in_chunks(spark, monkeypatch):
+    n = 96
+    texts = neardup.WorkTable(spark.createDataFrame([(k, f"only w{k} here and x{k // 2} there too") for k in range(n)], "node long, text string"), "t")
+    wide = neardup.WorkTable(spark.createDataFrame([(1, k, k, n) for k in range(n)], "band long, node long, comp long, m long"), "w")
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    found = {frozenset(r) for r in neardup.links_apart(wide, texts, 1, 70).read().collect()}
+    assert found == {frozenset((k, k + 1)) for k in range(0, n, 2)}
+
+    def sizes(size, percent):
+        def run(table):
+            import pyarrow as pa
+
+            return pa.table({"a": pa.array([table.num_rows], pa.int64()), "b": pa.array([0], pa.int64())})
+
+        return run
+
+    monkeypatch.setattr(neardup, "_apart", sizes)
+    rows = [r["a"] for r in neardup.links_apart(wide, texts, 1, 70).read().collect()]
+    assert len(rows) > 12 and max(rows) < n // 2
+
+
 def test_star_chunks_and_leftover_components(spark, monkeypatch):
     """Small chunks: many tasks for one star, and classes that only resemble others than the centre."""
     monkeypatch.setattr(neardup, "CHUNK", 4)

@@ -9,7 +9,7 @@
 3. Candidates are confirmed on full sets, a centre's members in chunks of fixed size, so that a large star
    is many tasks.
 4. Classes of one bucket that the confirmed links leave apart are compared with all of the bucket, again
-   in chunks, and give at most one link for each pair of components and chunk. Without this step a star
+   in chunks, chunk against chunk, and give at most one link for each pair of components and chunk. Without this step a star
    could miss two classes that resemble each other but not the centre.
 5. Components follow from links by alternating large-star and small-star rounds on tables.
 
@@ -224,13 +224,15 @@ def buckets_apart(members: WorkTable, comps: WorkTable) -> WorkTable:
 
 
 def links_apart(wide: WorkTable, texts: WorkTable, size: int, percent: int) -> WorkTable:
-    """Links between a bucket's components: all of the bucket in chunks, each with the bucket's smaller components."""
+    """Links between a bucket's components: all of the bucket in chunks, each with each chunk of the bucket's smaller components."""
     counted = wide.read().groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top")).select("band", F.col("top.comp").alias("top"))
-    asked = wide.read().join(largest, "band").select("band", "node", "comp", (F.col("comp") != F.col("top")).alias("roam"), F.ceil(F.col("m") / (2 * CHUNK)).cast("int").alias("parts"))
-    home = asked.select("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", "comp", "roam")
-    away = asked.where("roam AND parts > 1").select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp", "roam")
-    return WorkTable(home.union(away).join(texts.read(), "node").groupBy("band", "part").applyInArrow(_apart(size, percent), "a long, b long"), "links")
+    largest = counted.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("m")).select("band", F.col("top.comp").alias("top"), (F.col("m") - F.col("top.n")).alias("away"))
+    chunks = lambda n: F.ceil(n / (2 * CHUNK)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = wide.read().join(largest, "band").select("band", "node", "comp", (F.col("comp") != F.col("top")).alias("roam"), chunks(F.col("m")).alias("parts"), chunks(F.col("away")).alias("turns"))
+    home = asked.select("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), each("turns").alias("turn"), "node", "comp", F.lit(False).alias("roam"))
+    away = asked.where("roam").select("band", each("parts").alias("part"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns")).cast("int").alias("turn"), "node", "comp", "roam")
+    return WorkTable(home.union(away).join(texts.read(), "node").groupBy("band", "part", "turn").applyInArrow(_apart(size, percent), "a long, b long"), "links")
 
 
 def link_classes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
