@@ -244,6 +244,22 @@ def test_cache_of_words_may_be_cleared(spark, table_rows, ids, monkeypatch):
     assert all((a == b).all() for a, b in zip(got, ids([t for _, t in rows]), strict=True))
 
 
+def test_pieces_give_the_tokenizers_ids(ids):
+    """Letters, signs, contractions, special tokens, control characters and characters that need the tokenizer's own splitter."""
+    import pyarrow as pa
+
+    from voltweave.llm import bytetext as B
+
+    rng = random.Random(5)
+    texts = ["<|endoftext|> I'm don't x''s 12 a|b <|ENDOFTEXT|>", "×÷ Ã×b ÿß e\u0301 é\u0301 \x1ca\x7f 'tis", "", None, "A1B2--c..'d ²³ ª º ¼ µ"]
+    texts += ["".join(rng.choices("aZ9'|<>é×ÉßÿÃ\u0301 \n.-_\x1c İ中1\xa0²", k=rng.randint(0, 30))) for _ in range(4000)]
+    tokenizer, got = packing.WordTokenizer(packing.default_tokenizer()), []
+    for block in B.blocks(pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"]), limit=20000):
+        flat, at = tokenizer(block)
+        got += [flat[s:e] for s, e in zip(at[:-1], at[1:], strict=True)]
+    assert all((a == b).all() for a, b in zip(got, ids([t or "" for t in texts]), strict=True))
+
+
 def check_scores(spark, rows):
     got = language.score_documents(documents(spark, rows, extra=True).repartition(3)).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -18,6 +18,7 @@ import bisect
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens of one optimizer step; the sequences of a step all have one length.
 STEP_TOKENS = 16384
-#: Distinct words whose ids a worker remembers before it starts anew.
-CACHED_WORDS = 1 << 20
+#: Distinct pieces whose ids a worker remembers before it starts anew (some 40 bytes each), and how many are encoded in one call.
+CACHED_WORDS = 1 << 21
+JOINED_PIECES = 4096
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_id long"
 
@@ -42,11 +44,53 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# What the tokenizer's splitter makes of bytes. Letters, single digits and runs of other signs are
+# pieces of their own; a word with an apostrophe (a contraction), a bar (a special token), a control character or a
+# character beyond the Latin-1 letters is left whole for the tokenizer.
+BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
+KIND = np.full(256, OTHER, np.uint8)
+KIND[0x21:0x7F] = SIGN
+KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3]] = LETTER
+KIND[0x30:0x3A] = DIGIT
+KIND[[0x27, 0x7C]] = OTHER
+KIND[[0x20, *range(0x09, 0x0E)]] = BLANK
+#: The second byte of a Latin-1 letter after 0xC3, and its lower case; the signs for times and divided are no letters.
+SECOND = np.full(256, OTHER, np.uint8)
+SECOND[0x80:0xC0] = LETTER
+SECOND[[0x97, 0xB7]] = OTHER
+SECOND_LOWER = np.arange(256, dtype=np.uint8)
+SECOND_LOWER[0x80:0x9F] += 0x20
+
+
+def pieces(block: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of what the tokenizer splits a text into, where each document's start, which are whole words left to it, and all bytes in the lower case of the rest."""
+    buf, found = block.buf, B.words(block)
+    kind, low = KIND[buf], B.LOWER[buf]
+    second = np.flatnonzero(buf[:-1] == 0xC3) + 1
+    kind[second], low[second] = SECOND[buf[second]], SECOND_LOWER[buf[second]]
+    odd = B.per_document(kind == OTHER, np.append(found.start, len(buf))) > 0 if len(found) else np.zeros(0, bool)
+    new = np.zeros(len(buf), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    new[kind == BLANK] = False
+    new[found.start] = True
+    start = np.flatnonzero(new)
+    word = np.searchsorted(found.start, start, side="right") - 1
+    keep = ~odd[word] | (start == found.start[word])
+    start, word = start[keep], word[keep]
+    end = found.end[word]
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    end[inner] = start[inner + 1]
+    whole = odd[word]
+    raw = B.ragged(start[whole], (end - start)[whole])
+    low[raw] = buf[raw]
+    return start, end, np.searchsorted(start, block.at), whole, low
+
+
 class WordTokenizer:
-    """Ids of whole texts, one distinct word at a time.
+    """Ids of whole texts, one distinct piece at a time.
 
-    The tokenizer's own splitter never joins across white space, so a text's ids are its words' ids in
-    order; each distinct word is encoded once and its ids are gathered for every occurrence.
+    The tokenizer's own splitter never joins across white space, and lower-cases; so a text's ids are its
+    pieces' ids in order. Each distinct piece is encoded once and its ids are gathered for every occurrence.
     """
 
     def __init__(self, path: str):
@@ -55,6 +99,9 @@ class WordTokenizer:
 
         self.model = Tokenizer.from_file(path)
         self.encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
+        vocabulary = self.model.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -63,36 +110,55 @@ class WordTokenizer:
         self.length = np.zeros(0, np.int64)
         self.ids = np.array([END_ID], np.uint32)
 
-    def learn(self, block: B.Block, found: B.Words, hashes: np.ndarray, which: np.ndarray) -> None:
-        raw = block.buf.tobytes()
-        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(found.start[which].tolist(), found.end[which].tolist(), strict=True)]
-        rows = [x.ids for x in self.encode(texts, add_special_tokens=False)]
-        length = np.fromiter(map(len, rows), np.int64, len(rows))
-        at = len(self.ids) + np.cumsum(length) - length
-        self.ids = np.concatenate([self.ids, np.fromiter((i for r in rows for i in r), np.uint32, int(length.sum()))])
-        order = np.argsort(known := np.concatenate([self.known, hashes[which]]))
-        self.known, self.at, self.length = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.length, length])[order]
+    def learn(self, hashes: np.ndarray, texts: list[str], whole: np.ndarray) -> None:
+        """texts: distinct pieces in the order of their hashes, which are new and sorted."""
+        length, parts = np.zeros(len(texts), np.int64), []
+        order = np.concatenate([np.flatnonzero(~whole), np.flatnonzero(whole)])
+        plain = len(texts) - int(whole.sum())
+        for k in range(0, plain, JOINED_PIECES):
+            which = order[k : min(k + JOINED_PIECES, plain)]
+            ids = np.array(self.encode([" ".join(texts[i] for i in which.tolist())], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(which):
+                raise RuntimeError("the tokenizer splits a piece")
+            length[which] = np.diff(ends, prepend=0)
+            parts.append(ids)
+        rows = [x.ids for x in self.encode([texts[i] for i in order[plain:].tolist()], add_special_tokens=False)] if plain < len(texts) else []
+        length[order[plain:]] = [len(r) for r in rows]
+        parts.append(np.fromiter((i for r in rows for i in r), np.uint32))
+        at = np.empty(len(texts), np.int64)
+        at[order] = len(self.ids) + np.cumsum(length[order]) - length[order]
+        self.ids = np.concatenate([self.ids, *parts])
+        spot = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.length = np.insert(self.known, spot, hashes), np.insert(self.at, spot, at), np.insert(self.length, spot, length)
 
     def __call__(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block, an end id after each document, and where each document's ids start."""
-        found = B.words(block)
-        hashes = B.word_hashes(block, found)
+        start, end, at, whole, low = pieces(block)
+        hashes = B.fingerprint(B.bytes_prefix(low), start, end)
         distinct, first, of = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) > CACHED_WORDS:
             self.clear()
         spot = np.searchsorted(self.known, distinct)
-        new = self.known[np.minimum(spot, len(self.known) - 1)] != distinct if len(self.known) else np.ones(len(distinct), bool)
-        if new.any():
-            self.learn(block, found, hashes, first[new])
+        new = np.flatnonzero(self.known[np.minimum(spot, len(self.known) - 1)] != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            raw, one = low.tobytes(), first[new]
+            self.learn(distinct[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)], whole[one])
             spot = np.searchsorted(self.known, distinct)
         start, length = self.at[spot][of], self.length[spot][of]
-        start, length = np.insert(start, found.at[1:], 0), np.insert(length, found.at[1:], 1)
-        ends = found.at[1:] + np.arange(len(block))
+        start, length = np.insert(start, at[1:], 0), np.insert(length, at[1:], 1)
+        ends = at[1:] + np.arange(len(block))
         total = np.zeros(len(length) + 1, np.int64)
         np.cumsum(length, out=total[1:])
         return self.ids[B.ragged(start, length)], np.concatenate([[0], total[ends + 1]])
 
 
+@lru_cache(1)
+def tokenizer_of(path: str) -> WordTokenizer:
+    """A worker's tokenizer, which remembers pieces from one task to the next; ids do not depend on what it remembers."""
+    return WordTokenizer(path)
+
+
 class Packer:
     """Sequences of one task. A piece is (document row, start, length); waiting[t] is sorted by length."""
 
@@ -157,7 +223,7 @@ def pack_partition(path: str, tiers: tuple[int, ...] = TIERS):
     """For mapInArrow: pieces of every document of the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_of(path)
         packer, task = Packer(tiers), TaskContext.get().partitionId()
         number, steps, serial = 0, dict.fromkeys([1 << b for b in range(31)], 0), {}
         held: dict[int, tuple] = {}  # ids of documents that still have a waiting piece
