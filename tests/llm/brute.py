@@ -104,3 +104,19 @@ def documents(spark, rows, extra=False):
         for name in ("rid", "uid", "host", "bucket", "kind", "node", "words", "model", "half", "ranges", "held_out", "rank", "component_id"):
             df = df.withColumn(name, df["doc_id"] * 0)
     return df
+
+
+def main_text(page):
+    """The article of a page whose boilerplate is marked: what stands in <article> without marked adverts, forms, scripts and other such elements."""
+    import html
+
+    inner = re.search(r"<article\b[^>]*>(.*)</article>", page or "", re.S)
+    if not inner:
+        return None
+    s = re.sub(r"<!--.*?-->", "", inner[1], flags=re.S)
+    s = re.sub(r"<(script|style|form|nav|aside|footer)\b.*?</\1>", "\n\n", s, flags=re.S)
+    s = re.sub(r'<(div|section)\b[^>]*class="?(?:ad|comments|share|related)"?[^>]*>.*?</\1>', "\n\n", s, flags=re.S)
+    s = re.sub(r"</?(?:p|div|h[1-6]|ul|ol|li|section|blockquote|table|tr|td)\b[^>]*>", "\n\n", s)
+    s = re.sub(r"<br\b[^>]*>", " ", s)
+    s = html.unescape(re.sub(r"<[^>]*>", "", s))
+    return " ".join(s.split())

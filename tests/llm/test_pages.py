@@ -5,6 +5,7 @@ import hashlib
 import os
 
 import pytest
+from brute import main_text
 
 from voltweave.llm import html, warc
 from voltweave.llm.tables import shared_dir
@@ -106,6 +107,40 @@ def test_small_parts_between_large_ones_are_kept():
     assert html.extract(f"<body><div><a href=1>Home</a><a href=2>More</a></div><div class=x>{parts}</div></body>") == html.extract(f"<body>{parts}</body>") == wanted
 
 
+def test_names_veto_as_whole_tokens():
+    body = "".join(f"<p>{long_text(k)}</p>" for k in range(4))
+    wanted = " ".join(long_text(k) for k in range(4))
+    for name in ("has-sidebar", "no-comments", "with_ads", "page layout-footer", "commentary", "adverbs"):
+        assert html.extract(f'<body><div class="{name}"><article>{body}</article></div></body>') == wanted
+        assert html.extract(f'<body><div class="{name}">{body}</div></body>') == wanted
+    for name in ("comment", "comments", "user-comment", "post_comments", "comment-12", "x sidebar", "site-footer", "cookie-notice", "ad"):
+        veto = f'<div class="{name}"><p>{long_text(99)}</p></div>'
+        assert html.extract(f"<body><article>{body}{veto}</article>{veto}</body>") == wanted
+
+
+def test_comments_in_articles_of_their_own_go():
+    body = "".join(f"<p>{long_text(k)}</p>" for k in range(4))
+    wanted = " ".join(long_text(k) for k in range(4))
+    comment = f'<article class="comment"><p>{long_text(50)}</p></article>'
+    assert html.extract(f"<body><article>{body}{comment}{comment}</article></body>") == wanted
+    assert html.extract(f"<body><article>{body}</article>{comment}{comment}</body>") == wanted
+
+
+def test_the_clusters_decide(monkeypatch, small):
+    """With one cluster for all lines, menus and adverts come back, named or not."""
+    body = "".join(f"<p>{long_text(k)}</p>" for k in range(4))
+    tiny = "".join(f"<div><i><b>{w}</b></i></div>" for w in ("Home", "News", "Help", "Maps", "Jobs"))
+    page = f"<body>{tiny}<nav><p>Menu</p></nav><div>{body}</div><div class=ad>Buy</div>{tiny}</body>"
+    import pyarrow.parquet as pq
+
+    pages_ = [page, *pq.read_table(f"{small}/pages.parquet")["html"].to_pylist()]
+    before = [html.extract(x) for x in pages_]
+    assert before[0] == " ".join(long_text(k) for k in range(4))
+    monkeypatch.setattr(html, "high_cluster", lambda values: values > -1)
+    after = [html.extract(x) for x in pages_]
+    assert "Home" in after[0] and "Menu" in after[0] and all(a != b for a, b in zip(before, after, strict=True))
+
+
 def test_table(spark, small):
     got = html.extract_text(spark.read.parquet(f"{small}/pages.parquet").selectExpr("*", "1 AS text", "2 AS n_chars")).collect()
     assert len(got) == 50 and all(r["n_chars"] == len(r["text"]) > 0 for r in got)
@@ -113,4 +148,6 @@ def test_table(spark, small):
         inner = r["html"].split("<article>")[1].split("</article>")[0]
         wanted = html.extract(f"<article>{inner}</article>")
         assert next(g for g in got if g["page_id"] == r["page_id"])["text"] == wanted
+    for r in spark.read.parquet(f"{small}/pages.parquet").collect():
+        assert next(g for g in got if g["page_id"] == r["page_id"])["text"] == main_text(r["html"])
     assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0

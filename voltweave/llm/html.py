@@ -1,12 +1,15 @@
 """Main text of web pages: parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams a page's events once. Block tags end a line; a line has its text and
-the tags met since the last one. The logarithms of the smoothed ratios of characters to tags are split into two clusters. A
+the tags met since the last one. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments, by their tags, roles and names, have the ratio zero; so have lines of scripts and styles. The logarithms of
+the smoothed ratios of characters to tags are split into two clusters, a ratio of zero being in the low one. A
 container that holds a line of the high cluster is a content region, however small its share, and all its
-lines are kept, in page order. So are the other lines of the smallest container around all content regions,
-for a short section between long ones is content too; there, lines that are mostly links are menus and go.
-Lines in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-never kept.
+lines above zero are kept, in page order. So are the other lines of the smallest container around all content
+regions, for a short section between long ones is content too; there, lines that are mostly links are menus and go.
+
+A class or id names boilerplate as a whole token only: one of the listed names, or several joined by hyphens or
+underscores that are all listed or say nothing of their own (`site-footer`, but not `has-sidebar`).
 
 Defined cases: a null or empty page has an empty text; a page without markup is one line; repeated rows repeat.
 """
@@ -14,6 +17,7 @@ Defined cases: a null or empty page has an empty text; a page without markup is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,6 +35,8 @@ NESTED = REGION | DROPPED | frozenset("ul ol table dl figure".split())
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that say nothing of their own beside such a name.
+NEUTRAL = frozenset("article bar block bottom box container content entry global inner item items left list main module outer page panel post posts primary reader right secondary section site top unit user wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 #: Width of the Gaussian in lines.
 SIGMA = 1.0
@@ -38,6 +44,16 @@ SIGMA = 1.0
 APART = 4.0
 
 
+@lru_cache(1 << 12)
+def names_boilerplate(value: str) -> bool:
+    """Whether a token of a class or id attribute names boilerplate."""
+    for token in value.lower().split():
+        parts = [x for x in token.replace("_", "-").split("-") if x]
+        if token in BOILERPLATE or any(x in BOILERPLATE for x in parts) and all(x in BOILERPLATE or x in NEUTRAL or x.isdigit() for x in parts):
+            return True
+    return False
+
+
 class Lines(HTMLParser):
     """lines: (text, tags, region, best region, dropped, mostly links). A region is a number in order of its start; parent: the region around each."""
 
@@ -76,10 +92,10 @@ class Lines(HTMLParser):
             self.open.pop()
             _, dropped, region, best = self.open[-1]
         named = False
-        if attrs and tag not in ("article", "main", "body", "html"):
+        if attrs and tag not in ("main", "body", "html"):
             for key, value in attrs:
                 if key in ("class", "id") and value:
-                    named = named or not BOILERPLATE.isdisjoint(value.lower().replace("-", " ").replace("_", " ").split())
+                    named = named or names_boilerplate(value)
                 elif key == "role" or key == "aria-hidden":
                     named = named or (value or "").lower() in (ROLES if key == "role" else ("true",))
                 elif key == "hidden":
@@ -136,20 +152,26 @@ def smooth(values: np.ndarray) -> np.ndarray:
 
 
 def high_cluster(values: np.ndarray) -> np.ndarray:
-    """The upper of two clusters of ratios, by alternating means of their logarithms and the midpoint; all where there is one value or cluster."""
-    values = np.log1p(values)
-    low, high = values.min(), values.max()
-    if low == high:
-        return np.ones(len(values), bool)
-    limit = (low + high) / 2
-    for _ in range(50):
-        upper = values >= limit
-        new = (values[upper].mean() + values[~upper].mean()) / 2
-        if new == limit:
-            break
-        limit = new
-    upper = values >= limit
-    return upper if values[upper].mean() - values[~upper].mean() >= np.log(APART) else np.ones(len(values), bool)
+    """The upper of two clusters of ratios above zero, by alternating means of their logarithms and the midpoint; all of them where there is one value or cluster."""
+    above = values > 0
+    logs = np.log1p(values[above])
+    if not len(logs):
+        return above
+    upper, low, high = np.ones(len(logs), bool), logs.min(), logs.max()
+    if low < high:
+        limit = (low + high) / 2
+        for _ in range(50):
+            upper = logs >= limit
+            new = (logs[upper].mean() + logs[~upper].mean()) / 2
+            if new == limit:
+                break
+            limit = new
+        upper = logs >= limit
+        if logs[upper].mean() - logs[~upper].mean() < np.log(APART):
+            upper = np.ones(len(logs), bool)
+    out = above.copy()
+    out[above] = upper
+    return out
 
 
 def around(regions: set[int], parent: list[int]) -> set[int]:
@@ -168,18 +190,20 @@ def around(regions: set[int], parent: list[int]) -> set[int]:
 
 def extract(page: str | None) -> str:
     lines, parent = parse(page or "")
-    usable = [x for x in lines if not x[4]]
-    if not usable:
+    if not lines:
         return ""
-    ratio = np.array([0.0 if dropped else len(text) / max(tags, 1) for text, tags, _, _, dropped, _ in lines])
-    level = smooth(ratio)
+    dropped, links = np.array([x[4] for x in lines]), np.array([x[5] for x in lines])
+    ratio = np.where(dropped, 0.0, [len(text) / max(tags, 1) for text, tags, *_ in lines])
+    level = np.where(dropped, 0.0, smooth(ratio))
     high = high_cluster(level)
-    own = ratio >= level[high].min()  # a line of links counts by itself, not by the text beside it
-    hot = [x for x, h in zip(lines, high, strict=True) if h and not x[4]] or usable  # the high cluster may hold dropped lines only
-    home = lambda x: x[3] if x[3] >= 0 else x[2]
-    content = {home(x) for x, h, o in zip(lines, high, own, strict=True) if h and not x[4] and (o or not x[5])} or {home(x) for x in hot}
+    if not high.any():
+        return ""
+    own = ~links | (ratio >= level[high].min())  # a line of links counts by itself, not by the text beside it
+    home = [best if best >= 0 else region for _, _, region, best, _, _ in lines]
+    content = {x for x, h in zip(home, high & own, strict=True) if h} or {x for x, h in zip(home, high, strict=True) if h}
     inside = around(content, parent)
-    return " ".join(x[0] for x in usable if home(x) in content or home(x) in inside and not x[5])
+    kept = high | (level > 0)
+    return " ".join(line[0] for line, x, k, link in zip(lines, home, kept, links, strict=True) if k and (x in content or x in inside and not link))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
