@@ -173,6 +173,25 @@ def test_personal_data_equals_the_expressions(spark, corner_rows, table_rows):
         same([tuple(r)[:6] for r in got], wanted)
 
 
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in ("7" * 400_000, "1 " * 200_000, "1.1." * 100_000, "+1" * 200_000, "a@" * 200_000, "1-" * 200_000 + "x", "+" + "1 " * 200_000, "a@b." * 100_000, "www." * 100_000, "iban " * 80_000):
+        began = time.process_time()
+        pii.find(text)
+        assert time.process_time() - began < 20
+
+
+def test_added_spans_equal_plain_expressions(spark, table_rows):
+    """Web addresses by an expression of their own; the other added kinds by their cues."""
+    address = re.compile(r"(?<![^\W_])(?:https?://|HTTPS?://|Https?://|ftp://|FTP://|Ftp://|mailto:|MAILTO:|Mailto:|www\.|WWW\.|Www\.)[^ \t\n\r\x0b\x0c\"'<>{}|\\^`]*")
+    for _, text in [*table_rows, (0, "x www.a.b, (http://c.d/e?f) mailto:g@h.i. awww.no www. http:// _www.x.y")]:
+        wanted = [(m.start(), m.end() - len(m[0]) + len(m[0].rstrip(".,;:!?)]"))) for m in address.finditer(text or "") if re.search(r"[.@]", m[0].rstrip(".,;:!?)]")[len(re.match(r"(?i)https?://|ftp://|mailto:|www\.", m[0])[0]) :])]
+        assert pii.find(text or "")["url"] == wanted
+        for s, e in pii.find(text or "")["account"]:
+            assert re.search(r"(?i)iban|account|acct|konto|cuenta|compte|A[KS]IA", text[max(0, s - 30) : e])
+
+
 def test_more_personal_data_and_redaction(spark):
     text = "See https://example.org/a?b=1. IBAN: DE89 3704 0044 0532 0130 00, IBAN DE00 3704 0044 0532 0130 00; account no: 12345678 AKIA" + "A" * 16 + " me@x.org"
     spans = pii.find(text)

@@ -74,8 +74,8 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
                 spans["email"].append((low, m.end()))
                 done["email"] = m.end()
         elif kind == "digit":
-            if start and text[start - 1] in "0123456789" and start - 1 >= done["ip"] and start - 1 >= done["card"]:
-                continue  # inside a run whose start has been tried
+            if start and text[start - 1] in "0123456789":
+                continue  # inside a run of digits: matches begin at a run's start and end at a run's end
             if start >= done["ip"] and (m := IP.match(text, start)):
                 done["ip"] = m.end()
                 if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
