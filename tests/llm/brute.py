@@ -120,3 +120,38 @@ def main_text(page):
     s = re.sub(r"<br\b[^>]*>", " ", s)
     s = html.unescape(re.sub(r"<[^>]*>", "", s))
     return " ".join(s.split())
+
+
+def overlaps(docs, items, percent=80, least=13, drop=4):
+    """(doc_id, item_id) -> tokens of the best stretch: every diagonal, every pair of agreeing places with no gap of more than drop."""
+    cut = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", (t or "").translate(LOW))
+    out = {}
+    for d, text in docs:
+        a = cut(text)
+        where = defaultdict(list)
+        for k, w in enumerate(a):
+            where[w].append(k)
+        for i, item in items:
+            b = cut(item)
+            on = defaultdict(list)
+            for k, w in enumerate(b):
+                for p in where.get(w, ()):
+                    on[p - k].append(p)
+            best = 0
+            for diagonal, hits in on.items():
+                hits.sort()
+                if len(b) < least:
+                    agree = [h - diagonal for h in hits]
+                    if agree[0] == 0 and agree[-1] == len(b) - 1 and 100 * len(hits) >= percent * len(b) and diagonal >= 0 and diagonal + len(b) <= len(a):
+                        best = max(best, len(hits))
+                    continue
+                for x in range(len(hits)):
+                    for y in range(x, len(hits)):
+                        if y > x and hits[y] - hits[y - 1] > drop + 1:
+                            break
+                        n, size = y - x + 1, hits[y] - hits[x] + 1
+                        if size >= least and 100 * n >= percent * size:
+                            best = max(best, n)
+            if best:
+                out[d, i] = best
+    return out

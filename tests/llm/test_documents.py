@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import base_spans, documents, same, WORD
+from brute import base_spans, documents, overlaps, same, WORD
 
 from voltweave.llm import decontaminate, language, packing, pii, quality
 
@@ -115,6 +115,34 @@ def test_best_stretch_equals_plain_search():
                 assert decontaminate.stretches(agree, least) == wanted
 
 
+def test_overlaps_equal_brute_force(spark, table_rows, small):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(2)
+    items = list(map(tuple, zip(*pq.read_table(f"{small}/benchmark.parquet", columns=["item_id", "text"]).to_pydict().values(), strict=True)))[:40]
+    words = [f"w{k}" for k in range(12)]
+    items += [(900 + k, " ".join(rng.choices(words, k=n))) for k, n in enumerate([1, 2, 4, 5, 7, 9, 12, 13, 20, 40, 60])]
+    docs = [(d, t) for d, t in table_rows if t and len(t) < 4000][:60]
+    docs += [(5000 + k, " ".join(w if rng.random() < 0.9 else "other" for w in rng.choice(items)[1].split() + rng.choices(words, k=20))) for k in range(40)]
+    got = {(r["doc_id"], r["item_id"]): r["n_agree"] for r in decontaminate.find_overlaps(documents(spark, docs), bench(spark, items)).collect()}
+    wanted = overlaps(docs, items)
+    assert wanted and got == wanted
+
+
+def test_a_common_opening_is_verified_in_arrays():
+    import pyarrow as pa
+
+    opening = " ".join(f"o{k}" for k in range(9))
+    index = decontaminate.Seeds([(k, opening + " " + " ".join(f"i{k}x{j}" for j in range(30))) for k in range(4000)])
+    text = " ".join([opening, *(f"z{k}" for k in range(500))] * 3)
+    block = next(iter(decontaminate.B.blocks(pa.record_batch([pa.array([1]), pa.array([text + " " + opening + " " + " ".join(f"i7x{j}" for j in range(30))])], names=["doc_id", "text"]))))
+    import time
+
+    began = time.process_time()
+    assert index.matches(block) == {(0, 7): (3 * 509, 39, 39)}
+    assert time.process_time() - began < 2
+
+
 def test_blocks_of_items_give_the_same_overlaps(spark, small):
     docs, items = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     once, many = (sorted(map(tuple, decontaminate.find_overlaps(docs, items, n).collect())) for n in (1 << 20, 700))

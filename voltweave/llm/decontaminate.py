@@ -16,7 +16,8 @@ The masks leave no accepted pattern of substitutions without a seed: those for l
 from 13 tokens, those for shorter items none of the whole item, which has to agree at both ends.
 
 Defined cases: null or empty texts and items have no tokens and match nothing; items of fewer than 13 tokens,
-one token included, match as a whole; repeated rows repeat; of stretches of one item in one document the one
+one token included, match as a whole; repeated documents repeat, a repeated
+item counts once; of stretches of one item in one document the one
 with most agreeing tokens is returned, ties by the smallest start. Documents that overlap an item whose item_id
 is null are dropped like any other; find_overlaps() reports pairs of ids and leaves out items without one.
 """
@@ -43,6 +44,8 @@ AGREE_PERCENT = 80
 BLOCK_BYTES = 8 << 20
 #: Tokens that may disagree in a row before a stretch ends.
 DROP = 4
+#: Candidate tokens held at once while hits are gathered and verified.
+PAIRS = 1 << 21
 
 MATCH = "doc_id long, item_id long, start_token long, n_aligned long, n_agree long"
 
@@ -111,7 +114,7 @@ class Seeds:
         """(document row, item row) -> (start token, aligned, agreeing) of the best stretch."""
         found = B.words(block, B.NOT_ALNUM)
         tokens = B.word_hashes(block, found, lower=True)
-        pairs, short = set(), []
+        long, short = [], []
         for k, mask in self.masks:
             start, keys = seeds(tokens, found.at, mask, k)
             near = np.flatnonzero(self.table[(keys & B.U64(self.bits - 1)).astype(np.int64)])
@@ -119,51 +122,90 @@ class Seeds:
                 continue
             low, high = np.searchsorted(self.keys, keys[near]), np.searchsorted(self.keys, keys[near], side="right")
             hit = np.flatnonzero(high > low)
-            where = self.where[B.ragged(low[hit], (high - low)[hit])]
-            place = np.repeat(start[near[hit]], (high - low)[hit])
-            doc, item = np.searchsorted(found.at, place, side="right") - 1, self.item(where)
-            diagonal = place - found.at[doc] - where + self.at[item]
-            if mask in MASKS:
-                pairs |= set(zip(doc.tolist(), item.tolist(), diagonal.tolist(), strict=True))
-            else:
-                short.append((doc, item, diagonal))
+            place, low, many = start[near[hit]], low[hit], (high - low)[hit]
+            total = np.cumsum(many)
+            for s, e in parts(total, PAIRS):
+                where = self.where[B.ragged(low[s:e], many[s:e])]
+                here = np.repeat(place[s:e], many[s:e])
+                doc, item = np.searchsorted(found.at, here, side="right") - 1, self.item(where)
+                diagonal = here - found.at[doc] - where + self.at[item]
+                # Hits on one diagonal of one document and item are one.
+                order = np.lexsort((diagonal, item, doc))
+                doc, item, diagonal = (x[order] for x in (doc, item, diagonal))
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])
+                (long if mask in MASKS else short).append((doc[new], item[new], diagonal[new]))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if short:
             best.update(self.whole(tokens, found.at, *(np.concatenate(x) for x in zip(*short, strict=True))))
-        for doc, item, diagonal in sorted(pairs):
-            text, other = tokens[found.at[doc] : found.at[doc + 1]], self.tokens[self.at[item] : self.at[item + 1]]
-            low, high = max(0, diagonal), min(len(text), diagonal + len(other))
-            agree = text[low:high] == other[low - diagonal : high - diagonal]
-            for start, length, n in stretches(agree, min(LEAST_TOKENS, len(other))):
-                if n > best.get((doc, item), (0, 0, 0))[2]:
-                    best[doc, item] = (low + start, length, n)
+        if long:
+            for d, i, start, length, n in self.along(tokens, found.at, *np.unique(np.column_stack([np.concatenate(x) for x in zip(*long, strict=True)]), axis=0).T):
+                other = best.get((d, i))
+                if other is None or (-n, start) < (-other[2], other[0]):
+                    best[d, i] = (start, length, n)
         return best
 
+    def along(self, tokens: np.ndarray, at: np.ndarray, doc: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Document, item, start, length and agreeing tokens of the best stretch of each chain on these diagonals, in their order."""
+        low, high = np.maximum(0, diagonal), np.minimum(np.diff(at)[doc], diagonal + self.size[item])
+        length = high - low
+        least = np.minimum(LEAST_TOKENS, self.size[item])
+        for s, e in parts(np.cumsum(length), PAIRS):
+            n = length[s:e]
+            here = B.ragged(at[doc[s:e]] + low[s:e], n)
+            there = B.ragged(self.at[item[s:e]] + low[s:e] - diagonal[s:e], n)
+            agree = np.flatnonzero(tokens[here] == self.tokens[there])
+            first = np.cumsum(n) - n
+            of = np.searchsorted(first, agree, side="right") - 1
+            # Chains: agreeing tokens of one diagonal with at most DROP others between two; most are too short to look at.
+            new = np.ones(len(agree), bool)
+            new[1:] = (of[1:] != of[:-1]) | (np.diff(agree) > DROP + 1)
+            start = np.flatnonzero(new)
+            end = np.append(start[1:], len(agree))
+            lead = of[start]
+            good = np.flatnonzero(100 * (end - start) >= AGREE_PERCENT * least[s:e][lead])
+            for a, b, k in zip(start[good].tolist(), end[good].tolist(), lead[good].tolist(), strict=True):
+                chain = agree[a:b] - first[k]
+                for where, size, m in stretches_at(chain, int(least[s + k])):
+                    yield int(doc[s + k]), int(item[s + k]), int(low[s + k]) + where, size, m
+
+
+def parts(total: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose sums are at most limit, or one entry; total: running sums."""
+    start = 0
+    while start < len(total):
+        base = total[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(total, base + limit, side="right")))
+        yield start, end
+        start = end
+
 
 def stretches(agree: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Start, length and agreeing tokens of the best stretch of each chain, a longest piece with at most DROP others in a row."""
     hits = np.flatnonzero(agree)
-    out = []
-    for h in np.split(hits, np.flatnonzero(np.diff(hits) > DROP + 1) + 1):
-        if not len(h) or 100 * len(h) < AGREE_PERCENT * least:
-            continue
-        # Hits i to j are a stretch if value[j] >= value[i] - spare; the last such j is the longest for i.
-        value, spare = 100 * np.arange(len(h)) - AGREE_PERCENT * h, 100 - AGREE_PERCENT
-        later = np.maximum.accumulate(value[::-1])[::-1]
-        last = np.searchsorted(-later, spare - value, side="right") - 1
-        n = np.where(h[last] - h + 1 >= least, last - np.arange(len(h)) + 1, 0)
-        k = int(n.argmax())
-        if n[k]:
-            out.append((int(h[k]), int(h[last[k]] - h[k] + 1), int(n[k])))
-    return out
+    return [x for h in np.split(hits, np.flatnonzero(np.diff(hits) > DROP + 1) + 1) for x in stretches_at(h, least)]
+
+
+def stretches_at(h: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """The best stretch of one chain of agreeing places, if any is good enough."""
+    if not len(h) or 100 * len(h) < AGREE_PERCENT * least:
+        return []
+    # Hits i to j are a stretch if value[j] >= value[i] - spare; the last such j is the longest for i.
+    value, spare = 100 * np.arange(len(h)) - AGREE_PERCENT * h, 100 - AGREE_PERCENT
+    later = np.maximum.accumulate(value[::-1])[::-1]
+    last = np.searchsorted(-later, spare - value, side="right") - 1
+    n = np.where(h[last] - h + 1 >= least, last - np.arange(len(h)) + 1, 0)
+    k = int(n.argmax())
+    return [(int(h[k]), int(h[last[k]] - h[k] + 1), int(n[k]))] if n[k] else []
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about so many bytes each, by a hash of the item, and never all at once."""
+    """The items, each once, in blocks of about so many bytes each, by a hash of the item, and never all at once."""
+    benchmark = benchmark.select("item_id", "text").distinct()
     size = benchmark.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     passes = -(-size // block_bytes) or 1
     for k in range(passes):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         yield [(r["item_id"], r["text"]) for r in part.collect()]
 
 
