@@ -150,6 +150,45 @@ def test_star_chunks_and_leftover_components(spark, monkeypatch):
     same(got.select("doc_id", "n_shingles", "component_id", "kept").collect(), near(rows))
 
 
+def test_large_stars_are_dealt_out_by_differences(spark, monkeypatch):
+    """Families around the threshold whose members resemble others than the centre: edits, cuts and a second text in one star."""
+    monkeypatch.setattr(neardup, "CHUNK", 4)
+    monkeypatch.setattr(neardup, "DIRECT", 1)
+    rng = random.Random(21)
+    rows = [(200 + d, t) for d, t in copies(12, 50)]
+    base = [f"t{k}" for k in range(120)]
+    second = base[:60] + [f"s{k}" for k in range(60)]
+    for d in range(30):
+        w = list(second)
+        for _ in range(rng.choice([0, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"u{rng.randrange(5)}"
+        rows.append((400 + d, " ".join(w[rng.choice([0, 0, 4, 9]) :])))
+    rows += [(500 + d, " ".join(base[: 60 + 2 * d])) for d in range(30)]
+    found = []
+    plain = neardup.buckets_of_differences
+    monkeypatch.setattr(neardup, "buckets_of_differences", lambda *a: found.append(1) or plain(*a))
+    got = neardup.near_duplicates(documents(spark, rows), 3, 85, 128)
+    same(got.select("doc_id", "n_shingles", "component_id", "kept").collect(), near(rows))
+    assert found
+
+
+def test_classes_apart_give_few_links():
+    """Many similar classes in components of their own: a link for each component but one, not for each pair."""
+    import pyarrow as pa
+
+    n = 120
+    texts = [" ".join(["a", "b", "c"] * 3 + [f"w{j}" for j in range(100)] + [f"x{k}"]) for k in range(n)]
+    table = pa.table({"node": range(n), "comp": range(n), "roam": [True] * n, "text": texts})
+    assert neardup._apart(3, 85)(table).num_rows == n - 1
+
+
+def test_columns_with_the_operators_own_names(spark):
+    rows = documents(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words")])
+    odd = rows.withColumn("_of", rows["doc_id"] + 7).withColumn("_again", rows["doc_id"] + 8).withColumn("_voltweave_of", rows["doc_id"] + 9)
+    got = neardup.drop_near_duplicates(odd)
+    assert got.columns == odd.columns and sorted((r["doc_id"], r["_of"], r["_again"], r["_voltweave_of"]) for r in got.collect()) == [(1, 8, 9, 10), (3, 10, 11, 12)]
+
+
 def test_one_of_each_group_is_kept(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "z y x w v u"), (4, None), (5, "")]
     kept = neardup.drop_near_duplicates(documents(spark, rows))
