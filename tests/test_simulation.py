@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from voltweave.config import SimulationConfig
 from voltweave.errors import ConfigurationError, FixedPointOverflowError
-from voltweave.operators.graph import example, from_rows
+from voltweave.operators.graph import Graph, example, from_rows
+from voltweave.plans import simulate as simulation
 from voltweave.plans.simulate import Stepper, check_buckets, simulate
 
 CONFIG = SimulationConfig(20000, 0, (2,), 2)
@@ -106,6 +107,49 @@ def test_strict_check_sees_what_a_total_hides(spark):
         check_buckets(spikes.where("id = 0"), edges, strict=False)
 
 
+def test_overflow_is_reported_at_the_step_that_causes_it(spark):
+    """Two sources whose weights cancel: no total leaves 32 bits, but a sum does on the way."""
+    n = 70000
+    rows = [(0, 2, 32767, 3)] * n + [(1, 2, -32767, 3)] * n
+    edges = spark.createDataFrame([(k, s, t, w, d) for k, (s, t, w, d) in enumerate(rows)], "ord long, source long, target long, weight int, delay int")
+    g = Graph(from_rows(spark, 3, [], 3).neurons, edges.selectExpr("0 AS block_id", "*"), 3, 3)
+    initial = potentials(spark, (30000, 30000, 0))
+    with pytest.raises(FixedPointOverflowError):
+        simulate(g, CONFIG, timesteps=1, initial=initial)
+    assert simulate(g, CONFIG, timesteps=1, initial=initial, strict=False).spike_count == 2
+    s = Stepper(g, CONFIG, initial)
+    with pytest.raises(FixedPointOverflowError):
+        s.begin_step()
+
+
+def test_hubs_are_dealt_out_by_target(spark, monkeypatch):
+    monkeypatch.setattr(simulation, "HUB_EDGES", 3)
+    rows = sorted([(0, k % 7, 3 + k, 1 + k % 2) for k in range(40)] + [(k, (k * 5) % 7, 40, 2) for k in range(1, 7)])
+    c = SimulationConfig(30, 0, (2,), 1)
+    g = from_rows(spark, 7, rows, 3)
+    many = simulation.hubs(g.edges)
+    assert many.count() == 2 and simulation.dealt(g.edges, many).where("source = 0").select("delay", "part").distinct().count() > 4
+    wanted, v, refr = plain(7, rows, c, 6, [50, 0, 0, 0, 0, 0, 0], [0] * 7)
+    for residency in ("resident", "streamed"):
+        r = simulate(g, c, timesteps=6, initial=potentials(spark, (50, 0, 0, 0, 0, 0, 0)), residency=residency)
+        assert matrix(r) == wanted and [(x["v"], x["refr"]) for x in r.final_state.orderBy("id").collect()] == list(zip(v, refr, strict=True))
+
+
+def test_long_delays_keep_spikes_in_a_table(spark):
+    rows = [(0, 1, 50, 11), (0, 2, 50, 3), (1, 0, 90, 1), (2, 1, 5, 9)]
+    c = SimulationConfig(30, 0, (2,), 1)
+    r = simulate(from_rows(spark, 3, rows, 2), c, timesteps=14, initial=potentials(spark, (50, 0, 0)))
+    assert matrix(r) == plain(3, rows, c, 14, [50, 0, 0], [0] * 3)[0]
+    flags = [bytes(x) for x in matrix(r)]
+    assert r.range_digest == hashlib.sha256(b"".join(hashlib.sha256(f).digest() for f in flags)).hexdigest()
+
+
+def test_runs_leave_no_names_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    simulate(example(spark), CONFIG, timesteps=2, residency="streamed").spike_count
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_stepper_protocol(spark):
     s = Stepper(example(spark), CONFIG, potentials(spark, (32767, 0, 0, 0)))
     with pytest.raises(ConfigurationError):

@@ -38,7 +38,7 @@ def load(spark: SparkSession, dataset: str, residency: str) -> Graph:
     if os.path.isfile(os.path.join(dataset, "neurons.bin")):
         return open_binary(spark, dataset).graph
     if not Files(spark, dataset).exists():
-        raise ValueError(f"dataset is not a registered local artifact: {dataset}")
+        raise ValueError(f"no artifact is known by this name or path: {dataset}")
     return (open_artifact if residency == "streamed" else load_artifact)(spark, dataset).graph
 
 
@@ -121,7 +121,7 @@ def show_plan(args: argparse.Namespace) -> str:
 def convert(args: argparse.Namespace) -> str:
     signs = json.loads(args.sign_mapping)
     if not isinstance(signs, dict):
-        raise ValueError("sign mapping JSON must be an object")
+        raise ValueError("the file of signs must hold a JSON object")
     conversion = etl.Conversion(
         signs=signs, excluded=frozenset(args.exclude_label), quantizer=WeightQuantizer(args.weight_scale_num, args.weight_scale_den, args.overflow),
         node_filter=args.node_filter, scope=args.scope, delay=args.delay_steps, block_size=args.block_size,

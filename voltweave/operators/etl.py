@@ -97,7 +97,7 @@ def dense_index(nodes: DataFrame) -> DataFrame:
 
 def category_codes(annotations: DataFrame, column: str, most: int) -> DataFrame:
     """label and code: the rank of each label among all, unknown included. Few rows by the limit on codes, so one window is enough."""
-    labels = annotations.select(F.col(column).alias("label")).union(annotations.sparkSession.createDataFrame([(UNKNOWN,)], "label string")).distinct()
+    labels = annotations.select(F.col(column).alias("label")).union(annotations.sparkSession.createDataFrame([(UNKNOWN,)], "label string")).distinct().limit(most + 1)  # one too many is enough to know
     ordered = labels.agg(F.array_sort(F.collect_set("label")).alias("_all")).select(F.posexplode("_all").alias("code", "label"))
     return ordered.select("label", failing(F.col("code") >= most, GraphValidationError, f"more than {most} distinct values of {column}", F.col("code")).alias("code"))
 
@@ -145,9 +145,10 @@ def convert(weights: DataFrame, annotations: DataFrame, labels: DataFrame, colum
     raw = scan_edges(weights, columns, conversion.delay)
     notes = one_each(scan_annotations(annotations, columns), ["type", "side"])
     names = one_each(scan_labels(labels, columns), ["nt"])
-    labelled = label_edges(filter_edges(raw, notes, conversion.node_filter), names)
+    # Written once: the universe, the edges and the count of excluded ones are all made from it.
+    labelled = written(label_edges(filter_edges(raw, notes, conversion.node_filter), names), "labelled")
     kept = included(labelled, conversion.excluded)
-    index = written(dense_index(node_universe(raw, kept, notes, conversion)), "index")
+    index = written(dense_index(node_universe(labelled, kept, notes, conversion)), "index")
     neurons = written(neuron_table(index, notes, names, conversion.signs), "neurons")
     edges = written(in_csr_order(indexed_edges(kept, index, conversion)), "edges")
     left_out = labelled.where(F.col("nt").isin(sorted(conversion.excluded))) if conversion.excluded else labelled.limit(0)

@@ -60,6 +60,19 @@ def from_rows(spark: SparkSession, n: int, rows: list[tuple[int, int, int, int]]
     return graph
 
 
+def from_frame(edges: DataFrame, n: int, block_size: int, neurons: DataFrame | None = None) -> Graph:
+    """A graph from a table of source, target, weight and delay in any order, of any size: edges are ranked by source, target, weight and delay. Rows out of range are an error."""
+    if block_size < 1:
+        raise GraphValidationError("block size must be positive")
+    spark = edges.sparkSession
+    placed = ranked(edges.select(*(F.col(c).cast("long").alias(c) for c in ("source", "target", "weight", "delay"))), ["source", "target", "weight", "delay"], "ord")
+    block = F.call_function("div", F.col("source"), F.lit(block_size)).cast("int")
+    default = spark.range(n).select("id", F.col("id").cast("decimal(20,0)").alias("external_id"), F.lit(0).alias("type_code"), F.lit(0).cast("tinyint").alias("transmitter_code"), F.lit(0).cast("tinyint").alias("side_code"))
+    graph = Graph(neurons or default, placed.select(block.alias("block_id"), "source", "ord", "target", "weight", "delay"), n, block_size)
+    validate(graph)
+    return Graph(graph.neurons, graph.edges.withColumns({"weight": F.col("weight").cast("int"), "delay": F.col("delay").cast("int")}), n, block_size)
+
+
 def example(spark: SparkSession) -> Graph:
     """Four nodes, three edges, two blocks."""
     return from_rows(spark, 4, [(0, 1, 32767, 1), (0, 2, -12000, 1), (1, 3, 32767, 1)], 2)

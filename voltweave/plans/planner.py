@@ -32,8 +32,8 @@ def plan(graph: Graph, axes: RuntimeAxes, *, capacity_bytes: int | None = None)
     row = plan_bytes(block_descriptors(source_degrees(graph.edges, graph.neurons, graph.block_size)), graph.n).first()
     need = row["streamed_bytes"] if axes.residency == "streamed" else row["resident_bytes"]
     if capacity_bytes is None:
-        status, evidence = "not tested", "capacity was not supplied; required bytes are a design estimate"
+        status, evidence = "not tested", "no capacity was given, so the need is an estimate from block sizes"
     else:
-        status, evidence = "insufficient" if capacity_bytes < need else "feasible", "comparison against user-supplied capacity"
+        status, evidence = "insufficient" if capacity_bytes < need else "feasible", "the need was compared with the capacity given"
     device = axes.device if axes.device in ("cuda", "webgpu") else resolve_device(axes.device)
     return ExecutionPlan(device, axes.residency, axes.scope, need, status, evidence)

@@ -1,15 +1,20 @@
 """The timestep loop as DataFrames.
 
 A step is one job: spikes of the last max_delay steps meet the edges whose delay brings them to now, are
-summed by target and joined to the state; the new state is written and cuts the lineage. An edge counts
-only at the step its spike arrives, so no table of pending arrivals is rewritten. Edges are partitioned by
-source and states bucketed by id once: a step shuffles its spikes and partial sums, never the graph. Whether a sum of weights can leave 32 bits is proven once from the graph; where it
-can, every bucket is checked as it fills.
+summed by target and joined to the state; the new state is written and cuts the lineage. The join is by source
+and delay, so an edge is met only at the step its spike arrives, and no table of pending arrivals is rewritten.
+Edges are partitioned by source and delay and states bucketed by id once: a step shuffles its spikes and partial
+sums, never the graph. A source with very many edges of one delay is dealt out by its targets, and its spikes go
+to each part.
+
+Whether a sum of weights can leave 32 bits is proven once from the graph; where it can, the buckets of the targets
+at risk are checked at every step, edge by edge in emission order, and the run ends there with an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -17,13 +22,20 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import INT32, UINT16_MAX, SimulationConfig
+from ..config import INT16, INT32, UINT16_MAX, SimulationConfig
 from ..errors import ConfigurationError, FixedPointOverflowError, translated
 from ..functions.lif import advance, require_ansi
 from ..operators.graph import Graph, delay_bounds
-from ..work import bucketed
+from ..work import bucketed, remove, shared_dir, written
 
 DIGEST_CHUNK = 1 << 20
+#: Nodes whose flags one digest covers.
+DIGEST_RANGE = 1 << 16
+#: Edges of one source and delay that meet in one task; a source with more of them is dealt out by its targets.
+HUB_EDGES = 1 << 20
+#: Steps whose spikes are read from their states; where delays are longer, spikes are kept in a table of their own.
+UNION_STEPS = 8
+KEY = ["source", "delay", "part"]
 
 
 def initial_state(graph: Graph, given: DataFrame | None = None) -> DataFrame:
@@ -43,11 +55,31 @@ def initial_state(graph: Graph, given: DataFrame | None = None) -> DataFrame:
     return ids.join(given, "id").select("id", F.col("v").cast("int").alias("v"), F.col("refr").cast("int").alias("refr"))
 
 
-def arrivals(spikes: DataFrame, edges: DataFrame, t: int) -> DataFrame:
-    """target and current at step t. spikes: emit_t, id."""
-    sources = spikes.select(F.col("id").alias("source"), "emit_t")
-    # The delay is no join key, which would ask for edges partitioned by it as well.
-    met = edges.select("source", "delay", "target", "weight").join(sources, "source").where(F.col("emit_t") + F.col("delay") == t)
+def hubs(edges: DataFrame) -> DataFrame | None:
+    """source, delay and parts of sources with more edges of one delay than a task should take; None if there are none."""
+    if edges.count() <= HUB_EDGES:
+        return None
+    many = edges.groupBy("source", "delay").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_EDGES)
+    many = written(many.select("source", "delay", F.ceil(F.col("n") / HUB_EDGES).cast("int").alias("parts")), "hubs")
+    return None if many.isEmpty() else many
+
+
+def dealt(edges: DataFrame, many: DataFrame | None) -> DataFrame:
+    """edges with their part of a source: 0 but for hubs."""
+    if many is None:
+        return edges.withColumn("part", F.lit(0))
+    out = edges.join(many, ["source", "delay"], "left")
+    return out.withColumn("part", F.pmod(F.xxhash64("target"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
+def arrivals(spikes: DataFrame, edges: DataFrame, t: int, many: DataFrame | None = None) -> DataFrame:
+    """target and current at step t. spikes: emit_t, id; edges: with parts."""
+    due = spikes.select(F.col("id").alias("source"), (F.lit(t) - F.col("emit_t")).cast("int").alias("delay"))
+    if many is None:
+        due = due.withColumn("part", F.lit(0))
+    else:
+        due = due.join(many, ["source", "delay"], "left").select("source", "delay", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    met = edges.select(*KEY, "target", "weight").join(due, KEY)
     return met.groupBy("target").agg(F.sum(F.col("weight").cast("long")).alias("current"))
 
 
@@ -60,20 +92,29 @@ def step(state: DataFrame, arrived: DataFrame | None, config: SimulationConfig)
     return advance(both, config).select("id", "v", "refr", "spike")
 
 
-def cannot_overflow(edges: DataFrame) -> bool:
-    """Whether no target's incoming weights, all at once and by magnitude, leave 32 bits. An edge adds to a bucket at most once."""
-    most = edges.groupBy("target").agg(F.sum(F.abs(F.col("weight").cast("long"))).alias("s")).agg(F.max("s").alias("m")).first()["m"]
-    return (most or 0) <= INT32[1]
+def at_risk(edges: DataFrame) -> DataFrame | None:
+    """Edges of the targets whose incoming weights, all at once and by magnitude, leave 32 bits; None if there are none. An edge adds to a bucket at most once."""
+    if edges.count() * -INT16[0] <= INT32[1]:
+        return None
+    sums = edges.groupBy("target").agg(F.sum(F.abs(F.col("weight").cast("long"))).alias("s")).where(F.col("s") > INT32[1]).select("target")
+    sums = written(sums, "at-risk")
+    return None if sums.isEmpty() else written(edges.join(sums, "target", "left_semi"), "at-risk-edges")
 
 
-def check_buckets(spikes: DataFrame, edges: DataFrame, strict: bool) -> None:
-    """Raises if a bucket of arrivals leaves 32 bits after some step, or, if strict, after some edge in emission, source and edge order."""
+def overflowing(spikes: DataFrame, edges: DataFrame, strict: bool) -> DataFrame:
+    """target, arrive_t and the sum where a bucket of arrivals is out of 32 bits, after a step or, if strict, after an edge in emission, source and edge order."""
     met = edges.join(spikes.withColumnRenamed("id", "source"), "source").select("target", (F.col("emit_t") + F.col("delay")).alias("arrive_t"), "emit_t", "source", "ord", F.col("weight").cast("long").alias("weight"))
     order = ["emit_t", "source", "ord"] if strict else ["emit_t"]
     if not strict:
         met = met.groupBy("target", "arrive_t", "emit_t").agg(F.sum("weight").alias("weight"))
     w = Window.partitionBy("target", "arrive_t").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    if not met.select(F.sum("weight").over(w).alias("s")).where(~F.col("s").between(*INT32)).isEmpty():
+    return met.select("target", "arrive_t", F.sum("weight").over(w).alias("s")).where(~F.col("s").between(*INT32))
+
+
+def check_buckets(spikes: DataFrame, edges: DataFrame, strict: bool, after: int | None = None) -> None:
+    """Raises if a bucket of arrivals leaves 32 bits; after: only buckets that are due later."""
+    bad = overflowing(spikes, edges, strict)
+    if not (bad if after is None else bad.where(F.col("arrive_t") > after)).isEmpty():
         raise FixedPointOverflowError("a sum of arriving weights leaves signed 32 bits")
 
 
@@ -144,44 +185,97 @@ class SimulationResult:
         return digest.hexdigest()
 
 
+    @property
+    def range_digests(self) -> DataFrame:
+        """t, part and the SHA-256 of a byte per node of each step and range of nodes, made where the rows are."""
+        flag = F.struct("id", F.when(F.col("spike"), "01").otherwise("00").alias("x"))
+        part = F.call_function("div", F.col("id"), F.lit(DIGEST_RANGE)).cast("int")
+        held = self.spike_matrix.groupBy("t", part.alias("part")).agg(F.array_sort(F.collect_list(flag)).alias("all"))
+        return held.select(F.col("t").cast("long").alias("t"), F.col("part").cast("long").alias("part"), F.sha2(F.unhex(F.array_join(F.transform("all", lambda f: f["x"]), "")), 256).alias("sha256"))
+
+    @property
+    def range_digest(self) -> str:
+        """SHA-256 over the digests of all ranges in order: the driver takes one row for each."""
+        digest = hashlib.sha256()
+        for row in self.range_digests.orderBy("t", "part").toLocalIterator():
+            digest.update(bytes.fromhex(row["sha256"]))
+        return digest.hexdigest()
+
+
 class Stepper:
-    """One step at a time: begin, schedule the graph's blocks in order, finish."""
+    """One step at a time: begin, schedule the graph's blocks in order, finish. close() takes the last state's name from the catalog."""
 
-    def __init__(self, graph: Graph, config: SimulationConfig, initial: DataFrame | None = None, max_delay: int | None = None):
+    def __init__(self, graph: Graph, config: SimulationConfig, initial: DataFrame | None = None, max_delay: int | None = None, strict: bool = True, many: DataFrame | None = None):
+        """graph: its edges may have parts already, those of many."""
         require_ansi(graph.spark)
-        self.graph, self.config = graph, config
+        self.graph, self.config, self.strict, self.many = graph, config, strict, many
+        if "part" not in graph.edges.columns:
+            self.many = hubs(graph.edges)
+            self.graph = Graph(graph.neurons, dealt(graph.edges, self.many), graph.n, graph.block_size)
         self.max_delay = delay_bounds(graph.edges).first()["max_delay"] if max_delay is None else max_delay
-        self.start = self.state = bucketed(initial_state(graph, initial), "id", "state")
+        self.risky = at_risk(graph.edges)
+        self.table = bucketed(initial_state(graph, initial), ["id"], "state")
+        self.start = self.state = self.table.df
         self.states: list[DataFrame] = []
+        self.sent = f"{shared_dir(graph.spark)}/voltweave/spikes-{uuid.uuid4().hex}"
         self.open = False
         self.next_source = 0
 
+    def recent(self, t: int) -> DataFrame | None:
+        """emit_t and id of the spikes that may arrive at step t or later; None before the first step."""
+        first = max(0, t - self.max_delay)
+        if not self.states:
+            return None
+        if self.max_delay > UNION_STEPS:
+            return self.graph.spark.read.schema("id long, emit_t int").parquet(self.sent).where(F.col("emit_t") >= first)
+        out = None
+        for k, s in enumerate(self.states[first:], first):
+            part = s.where("spike").select(F.lit(k).alias("emit_t"), "id")
+            out = part if out is None else out.union(part)
+        return out
+
     def begin_step(self) -> DataFrame:
         """The new state, spikes flagged."""
         if self.open:
             raise ConfigurationError("the step before is not finished")
         t = len(self.states)
-        recent = [s.where("spike").select(F.lit(k).alias("emit_t"), "id") for k, s in enumerate(self.states) if t - k <= self.max_delay]
-        arrived = None
-        if recent:
-            spikes = recent[0]
-            for s in recent[1:]:
-                spikes = spikes.union(s)
-            arrived = arrivals(spikes, self.graph.edges, t)
+        spikes = self.recent(t)
+        arrived = None if spikes is None else arrivals(spikes, self.graph.edges, t, self.many)
+        before = self.table
         try:
-            self.state = bucketed(step(self.state.select("id", "v", "refr"), arrived, self.config), "id", "state", arranged=True)
+            self.table = bucketed(step(self.state.select("id", "v", "refr"), arrived, self.config), ["id"], "state", arranged=True)
         except PySparkException as error:
             raise translated(error) from error
+        self.state = self.table.df
+        plain = before.unnamed()
+        if self.states:
+            self.states[-1] = plain
+        else:
+            self.start = plain
         self.states.append(self.state)
+        if self.max_delay > UNION_STEPS:
+            self.state.where("spike").select("id").write.parquet(f"{self.sent}/emit_t={t}")
+        if self.risky is not None:
+            check_buckets(self.recent(t + 1), self.risky, self.strict, after=t)
         self.open, self.next_source = True, 0
         return self.state
 
+    def close(self) -> None:
+        plain = self.table.unnamed()
+        if self.states:
+            self.states[-1] = plain
+        else:
+            self.start = plain
+        self.state = plain
+        if self.max_delay > UNION_STEPS:
+            remove(self.graph.spark, self.sent)
+
     def schedule_block(self, source_start: int, source_count: int) -> None:
         """Declares a block's edges scheduled. Blocks must follow each other; the join itself happens at arrival."""
         if not self.open:
             raise ConfigurationError("no step is open")
         if source_start != self.next_source or source_count < 0 or source_start + source_count > self.graph.n:
-            raise ConfigurationError("blocks must cover contiguous source ranges")
+            raise ConfigurationError("a block does not start where the one before ends")
         self.next_source += source_count
 
     def finish_step(self) -> None:
@@ -196,25 +290,31 @@ class Stepper:
         return SimulationResult(list(self.states), self.start, self.graph.n)
 
 
-def simulate(graph: Graph, config: SimulationConfig, *, timesteps: int, initial: DataFrame | None = None, residency: str = "resident", strict: bool = False) -> SimulationResult:
-    """residency: resident keeps the edges in memory between steps, streamed scans a table of them at each; both partitioned by source."""
+def simulate(graph: Graph, config: SimulationConfig, *, timesteps: int, initial: DataFrame | None = None, residency: str = "resident", strict: bool = True) -> SimulationResult:
+    """residency: resident keeps the edges in memory between steps, streamed scans a table of them at each; both partitioned by source and delay.
+
+    strict: sums of arriving weights are checked after every edge rather than after every step.
+    """
     if timesteps < 0:
         raise ConfigurationError("timesteps must not be negative")
     if residency not in ("resident", "streamed"):
         raise ConfigurationError(f"unknown residency: {residency}")
-    edges = graph.edges.select("source", "ord", "target", "weight", "delay")
-    edges = edges.repartition("source").persist(StorageLevel.MEMORY_AND_DISK) if residency == "resident" else bucketed(edges, "source", "edges")
-    held = Graph(graph.neurons, edges, graph.n, graph.block_size)
+    many = hubs(graph.edges)
+    edges = dealt(graph.edges.select("source", "ord", "target", "weight", "delay"), many)
+    table = None
+    if residency == "resident":
+        edges = edges.repartition(*KEY).persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        table = bucketed(edges, KEY, "edges")
+        edges = table.df
+    stepper = None
     try:
-        stepper = Stepper(held, config, initial)
+        stepper = Stepper(Graph(graph.neurons, edges, graph.n, graph.block_size), config, initial, strict=strict, many=many)
         for _ in range(timesteps):
             stepper.begin_step()
             stepper.schedule_block(0, graph.n)
             stepper.finish_step()
-        result = stepper.result
-        if timesteps and not cannot_overflow(held.edges):
-            check_buckets(result.spikes.withColumnRenamed("t", "emit_t"), held.edges, strict)
-        return result
+        stepper.close()
+        return stepper.result
     finally:
-        if residency == "resident":
-            edges.unpersist()
+        edges.unpersist() if table is None else table.drop()

@@ -37,7 +37,7 @@ def safe_join(root: str, relative: str) -> str:
     base = os.path.realpath(root)
     path = os.path.realpath(os.path.join(base, relative))
     if os.path.commonpath([base, path]) != base:
-        raise PathContainmentError(f"path escapes artifact root: {relative}")
+        raise PathContainmentError(f"{relative} lies outside the artifact")
     return path
 
 
@@ -79,7 +79,7 @@ def write_artifact(graph: Graph, path: str, *, dataset_id: str, source_url: str
     validate(graph)
     degrees = source_degrees(graph.edges, graph.neurons, graph.block_size)
     if not contiguity_violations(block_descriptors(degrees)).isEmpty():
-        raise GraphValidationError("blocks must cover contiguous source ranges")
+        raise GraphValidationError("a block does not start where the one before ends")
     staging = Files(graph.spark, f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}")
     graph.neurons.write.parquet(f"{staging.path}/neurons")
     edges = graph.edges.select("block_id", "source", "ord", "target", "weight", "delay")
@@ -210,7 +210,7 @@ def open_binary(spark: SparkSession, path: str, *, verify_checksums: bool = True
         if set(b) != set(DESCRIPTOR) or not SHA.fullmatch(b["sha256"]):
             raise GraphFormatError("a block descriptor is malformed")
         if b["source_start"] != expected:
-            raise GraphValidationError("blocks must cover contiguous source ranges")
+            raise GraphValidationError("a block does not start where the one before ends")
         expected += b["source_count"]
     if expected != n or sum(b["edge_count"] for b in manifest["blocks"]) != manifest["n_edges"]:
         raise GraphValidationError("blocks do not cover every source or every edge")
