@@ -339,43 +339,118 @@ def test_rare_words_reach_their_counts_by_a_join(spark, table_rows, monkeypatch)
     check_scores(spark, table_rows[:80])
 
 
-def test_gradient():
-    """Backpropagation against differences, and the state's reset at a document's start."""
-    rng = np.random.default_rng(0)
-    net = language.Network()
-    net.flat[:] = rng.normal(0, 0.3, len(net.flat))
-    given, wanted = rng.integers(0, language.CLASSES + 1, (5, 3)), rng.integers(0, language.CLASSES, (5, 3))
-    keep, weight = (rng.random((5, 3)) < 0.7).astype(np.float32), np.ones((5, 3), np.float32)
+def small_network(seed=0):
+    """Thirty words in classes of one to nine, the end, and all others."""
+    at = np.minimum(np.cumsum([0, *[1 + k % 9 for k in range(language.CLASSES)]]), 30)
+    at[-2:] = 31, 32
+    at[-3] = 30
+    shares = np.concatenate([np.log(np.full(n, 1 / n)) if n else np.zeros(0) for n in np.diff(at)])
+    net = language.Network(language.Classes(np.arange(33), at, shares.astype(np.float32), np.where(np.diff(at) > 0, -3, language.NEVER).astype(np.float32)))
+    rng = np.random.default_rng(seed)
+    net.held[:] += rng.normal(0, 0.3, len(net.held))
+    return net, rng
+
+
+def test_gradient(monkeypatch):
+    """Backpropagation against differences, the words' vectors included, and the state's reset at a document's start."""
+    monkeypatch.setattr(language, "WORD_RATE", 0.0)
+    net, rng = small_network()
+    given, wanted = rng.integers(0, 30, (5, 3)), rng.integers(0, 32, (5, 3))
+    given[0, 0] = given[3, 1] = net.words  # starts of documents
+    given[given == 7] = 8  # never input
+    wanted[2, 2] = 7
+    keep, weight = (rng.random((5, 3)) < 0.7).astype(np.float32), (rng.random((5, 3)) < 0.8).astype(np.float32)
     start = rng.normal(0, 0.5, (3, language.HIDDEN)).astype(np.float32)
 
     def loss():
         h, total = start, 0.0
         for t in range(5):
-            h = net.step(given[t], h * keep[t][:, None])[0]
-            total -= net.log_classes(h)[np.arange(3), wanted[t]].sum()
-        return total / 15
-
-    net.update = lambda: None
-    net.learn(given, wanted, keep, weight, start)
-    for k in rng.choice(np.flatnonzero(np.abs(net.grad) > 1e-3), 40, replace=False):
-        old = net.flat[k]
-        net.flat[k] = old + 1e-2
+            h = net.step(net.given(given[t]), h * keep[t][:, None])[0]
+            logs = net.log_classes(h)[np.arange(3), net.class_of[wanted[t]]] + net.log_words(h, wanted[t])
+            total -= float((logs * weight[t]).sum())
+        return total
+
+    def slope(values, k):
+        old = values[k]
+        values[k] = old + 1e-2
         up = loss()
-        net.flat[k] = old - 1e-2
+        values[k] = old - 1e-2
         down = loss()
-        net.flat[k] = old
-        assert abs((up - down) / 2e-2 - net.grad[k]) < 2e-3
+        values[k] = old
+        return (up - down) / 2e-2
+
+    grads = []
+    net.update = lambda: grads.append(net.grad.copy())
+    net.learn(given, wanted, keep, weight, start)
+    grad = grads[0] * weight.sum()
+    for k in rng.choice(np.flatnonzero(np.abs(grad) > 1e-2), 40, replace=False):
+        assert abs(slope(net.flat, k) - grad[k]) < 0.02 * max(1, abs(grad[k]))
+    monkeypatch.setattr(language, "WORD_RATE", 1e-4)
+    low, high = next((a, b) for a, b in zip(net.classes.at, net.classes.at[1:], strict=False) if a <= 7 < b)
+    times = int(((wanted >= low) & (wanted < high)).sum())
+    output_rate = 1e-4 / np.sqrt(1 + times * np.exp(net.classes.shares[7]))
+    wanted_slopes = {(row, j): slope(net.vectors, (row, j)) for row in (7, net.words) for j in range(3)} | {"b": slope(net.bias, 7)}
+    before, bias = net.vectors.astype(np.float64), net.bias.astype(np.float64)
+    net.learn(given, wanted, keep, weight, start)
+    for (row, j), rate in (((row, j), rate) for row, rate in ((7, output_rate), (net.words, 1e-4 / np.sqrt(2))) for j in range(3)):
+        moved = (before[row, j] - net.vectors[row, j]) / rate
+        assert abs(moved - wanted_slopes[row, j]) < 0.03 * max(1, abs(moved))
+    assert abs((bias[7] - net.bias[7]) / output_rate - wanted_slopes["b"]) < 0.03
+
+
+def test_probabilities_sum_to_one(spark, table_rows):
+    net, rng = small_network(3)
+    h = np.tanh(rng.normal(0, 1, (20, language.HIDDEN))).astype(np.float32)
+    total = sum(np.exp(net.log_classes(h)[np.arange(20), net.class_of[np.full(20, w)]] + net.log_words(h, np.full(20, w))) for w in range(32))
+    assert np.abs(total - 1).max() < 1e-4
+    c = Counter(w for _, t in table_rows for w in [*WORD.findall(t or ""), None])
+    counts = spark.createDataFrame([(int(np.uint64(language.END).view(np.int64)) if w is None else hash(w), n) for w, n in c.items()], "word long, n long")
+    table = language.make_table(counts)
+    own = (table.numbers != language.REST_WORD).sum()
+    in_model = int(table.counts[table.numbers != language.REST_WORD].sum())
+    # Each other word has its count and one, and unseen words have one together.
+    assert round(10**table.rest) == sum(c.values()) - in_model + len(c) - own + 1
 
 
 def test_scores_are_probabilities_of_whole_documents():
-    net = language.Network()
-    rng = np.random.default_rng(1)
-    docs = [rng.integers(0, language.CLASSES, n).astype(np.uint8) for n in (1, 40, 7, 7, 300)]
+    net, rng = small_network(1)
+    docs = [rng.integers(0, 32, n) for n in (1, 40, 7, 7, 300)]
     got = net.score(np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
     for d, s in zip(docs, got, strict=True):
-        h, x, total = np.zeros((1, language.HIDDEN), np.float32), language.START, 0.0
+        h, x, total = np.zeros((1, language.HIDDEN), np.float32), net.words, 0.0
         for c in d:
-            h = net.step(np.array([x]), h)[0]
-            total += net.log_classes(h)[0, c] / np.log(10)
+            h = net.step(net.given(np.array([x])), h)[0]
+            total += (net.log_classes(h)[0, net.class_of[c]] + net.log_words(h, np.array([c]))[0]) / np.log(10)
             x = c
         assert abs(total - s) < 1e-3
+
+
+def test_streams_train_on_every_token_once_and_keep_states(monkeypatch):
+    """What the network is given, in windows, equals the documents; a state is reset only where a stretch begins."""
+    monkeypatch.setattr(language, "STRETCH", 50)
+    net, rng = small_network(2)
+    seen = []
+
+    def learn(given, wanted, keep, weight, h, least):
+        seen.append((given.copy(), wanted.copy(), keep.copy(), weight.copy(), h[:, 0].copy()))
+        return h + weight.sum(axis=0)[:, None] * (keep.min(axis=0)[:, None] if len(keep) else 1)
+
+    net.learn = learn
+    streams = language.Streams(net, 4)
+    docs = [rng.integers(0, 31, n) for n in [3, 170, 1, 60, 20, 20, 90, 5, 33, 400, 2]]
+    for part in (docs[:5], docs[5:6], docs[6:]):
+        streams.add(np.concatenate(part), np.concatenate([[0], np.cumsum([len(d) for d in part])]), False)
+    streams.add(np.zeros(0, np.int64), np.zeros(1, np.int64), True)
+    assert sum(int(w.sum()) for *_, w, _ in seen) == sum(map(len, docs))
+    pairs = Counter()
+    for given, wanted, keep, weight, _ in seen:
+        for g, x, k, w in zip(given.ravel(), wanted.ravel(), keep.ravel(), weight.ravel(), strict=True):
+            if w:
+                assert (k == 0) == (g == net.words)
+                pairs[int(g), int(x)] += 1
+    wanted_pairs = Counter()
+    for d in docs:
+        for s in range(0, len(d), 50):
+            part = d[s : s + 50].tolist()
+            wanted_pairs.update(zip([net.words, *part], part))
+    assert pairs == wanted_pairs
