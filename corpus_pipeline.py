@@ -51,7 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = WorkTable(stage(spark, docs, sf_dir), "stage").read()
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        table = WorkTable(stage(spark, docs, sf_dir), "stage")
+        if before:
+            before.drop()
+        docs, before = table.read(), table
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,7 +23,7 @@ from .plans.oracle import BASE, graph_sql, unrolled
 from .sources import artifact, blocks
 from .sources.tables import Columns, one_each, scan_annotations, scan_edges
 from .streaming.arrivals import arriving_current
-from .work import shared_dir
+from .work import work_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +43,7 @@ EDGES_SQL = "SELECT CAST(source // 500 AS BIGINT) AS block_id, source, target, C
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
     """An artifact of the derived graph, and its manifest."""
-    path = f"{shared_dir(spark)}/voltweave/artifact-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/artifact-{uuid.uuid4().hex}"
     return path, artifact.write_artifact(fixture.graph(spark, sf_dir, delays=True, ordered=True), path, dataset_id="derived")
 
 
@@ -257,7 +257,7 @@ FROM events JOIN idx ON user_id = body_id JOIN e ON e.source = idx.id WHERE even
 def streamed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as a stream of spikes of the users they name: what each sends, by hour of emission and time of arrival."""
     g = fixture.graph(spark, sf_dir, delays=True)
-    path = f"{shared_dir(spark)}/voltweave/stream-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'error'")
     nodes = g.neurons.select("id", F.col("external_id").cast("long").alias("user_id"))
     events.select("ts", "user_id").join(nodes, "user_id").select("id", "ts").write.parquet(f"{path}/in")
@@ -276,10 +276,10 @@ def feather_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .sources.feather import columns, read_feather
 
-    folder = shared_dir(spark)
+    folder = work_dir(spark)
     if not folder.startswith(("file:/", "/")):
         raise DataSchemaError("Arrow IPC files are read from a folder that every executor can open")
-    path = f"{folder.removeprefix('file://')}/voltweave/part-{uuid.uuid4().hex}.feather"
+    path = f"{folder.removeprefix('file://')}/part-{uuid.uuid4().hex}.feather"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     writer = None
     for batch in spark.read.parquet(f"{sf_dir}/part.parquet").toArrow().to_batches(max_chunksize=4096):

@@ -26,7 +26,7 @@ from ..config import INT16, INT32, UINT16_MAX, SimulationConfig
 from ..errors import ConfigurationError, FixedPointOverflowError, translated
 from ..functions.lif import advance, require_ansi
 from ..operators.graph import Graph, delay_bounds
-from ..work import bucketed, remove, shared_dir, written
+from ..work import bucketed, remove, work_dir, written
 
 DIGEST_CHUNK = 1 << 20
 #: Nodes whose flags one digest covers.
@@ -217,7 +217,7 @@ class Stepper:
         self.table = bucketed(initial_state(graph, initial), ["id"], "state")
         self.start = self.state = self.table.df
         self.states: list[DataFrame] = []
-        self.sent = f"{shared_dir(graph.spark)}/voltweave/spikes-{uuid.uuid4().hex}"
+        self.sent = f"{work_dir(graph.spark)}/spikes-{uuid.uuid4().hex}"
         self.open = False
         self.next_source = 0
 

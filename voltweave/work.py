@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .errors import ConfigurationError
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder for work tables within the shared one. It goes when the application ends."""
+    path = f"{shared_dir(spark)}/voltweave/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _made.add(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a written table: a lost executor costs no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession)}/voltweave/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,7 +82,7 @@ def bucketed(df: DataFrame, by: list[str], label: str, arranged: bool = False) -
     """
     spark = df.sparkSession
     n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/voltweave/{name}"
+    path = f"{work_dir(spark)}/{name}"
     (df if arranged else df.repartition(n, *by)).write.option("path", path).bucketBy(n, *by).saveAsTable(name)
     return Bucketed(spark, name, path)
 
