@@ -63,8 +63,12 @@ def fingerprint(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(0xA24BAED4963EE407))
 
 
-def bytes_prefix(buf: np.ndarray) -> np.ndarray:
-    return prefix(buf.astype(U64) + U64(1))
+#: A second, unrelated value for each byte; prints from it fail independently of the first.
+SECOND = np.random.Generator(np.random.PCG64(29)).integers(1, 1 << 63, 256).astype(np.uint64)
+
+
+def bytes_prefix(buf: np.ndarray, second: bool = False) -> np.ndarray:
+    return prefix(SECOND[buf] if second else buf.astype(U64) + U64(1))
 
 
 @dataclass
@@ -141,8 +145,8 @@ def words(block: Block, separator: np.ndarray = SPACE) -> Words:
     return Words(start, np.flatnonzero(ends), np.searchsorted(start, block.at))
 
 
-def word_hashes(block: Block, found: Words, lower: bool = False) -> np.ndarray:
-    return fingerprint(bytes_prefix(LOWER[block.buf] if lower else block.buf), found.start, found.end)
+def word_hashes(block: Block, found: Words, lower: bool = False, second: bool = False) -> np.ndarray:
+    return fingerprint(bytes_prefix(LOWER[block.buf] if lower else block.buf, second), found.start, found.end)
 
 
 def windows(found: Words, size: int) -> np.ndarray:

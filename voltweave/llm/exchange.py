@@ -17,6 +17,8 @@ from .bytetext import U64, mix
 
 #: Entries that a mapper gathers before it writes blobs.
 FLUSH_ENTRIES = 1 << 20
+#: Buckets that a task may have to take one after another.
+BUCKETS_A_TASK = 16
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -61,8 +63,11 @@ def arrays(table: pa.Table | pa.RecordBatch, fields: dict[str, str], kind: int |
     return out
 
 
-def reduce_buckets(df: DataFrame, fn: Callable[[pa.Table], pa.Table], out_schema: str) -> DataFrame:
-    """fn gets all rows of one bucket."""
+def reduce_buckets(df: DataFrame, fn: Callable[[pa.Table], pa.Table], out_schema: str, buckets: int = 0) -> DataFrame:
+    """fn gets all rows of one bucket. There are partitions enough for a task to have few of so many buckets, whatever the session's setting."""
+    least = -(-buckets // BUCKETS_A_TASK)
+    if least > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(least, "bucket")
     return df.groupBy("bucket").applyInArrow(fn, out_schema)
 
 

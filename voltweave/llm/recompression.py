@@ -9,8 +9,9 @@ name; a window without any by itself.
 
 1. Each task sends the names of its documents' symbols to the names' buckets. Names that occur in one
    document only end here.
-2. For each shared name the windows that it represents are verified: their fingerprints go to the name's
-   bucket, and a window goes if a smaller document has it.
+2. The windows that a shared name represents are verified: two independent prints of each window's words, 64
+   bits each, go to the window's bucket, and a window goes if a smaller document has it. A name that many
+   windows share, as a common phrase has in any surroundings, is thus dealt out by its windows.
 3. The ranges found are joined back to the texts.
 
 Names and windows that one task holds several times are settled in that task and sent once, so a name that
@@ -40,9 +41,8 @@ ROUNDS = 5
 LAST_ID = (1 << 63) - 1
 
 NAME = {"key": "<u8", "rid": "<i8", "at": "<u4"}
-WINDOW = {"key": "<u8", "window": "<u8", "doc": "<i8", "rid": "<i8", "at": "<u4"}
+WINDOW = {"window": "<u8", "check": "<u8", "doc": "<i8", "rid": "<i8", "at": "<u4"}
 RANGE = {"rid": "<i8", "start": "<u4", "end": "<u4"}
-HIT = np.dtype([("key", "<u8"), ("at", "<u4")])
 SINGLE, SEVERAL, MARK = 0, 1, 2
 
 
@@ -147,7 +147,7 @@ def _names(buckets: int, size: int):
         for kind, which in ((SINGLE, order[np.repeat(~several, times)]), (SEVERAL, order[start[several & lead]])):
             part = {k: v[which] for k, v in e.items()}
             yield X.blobs(NAME, X.bucket_of(part["key"], buckets), kind, **part)
-        part = {k: v[order[np.repeat(several, times)]] for k, v in e.items()}
+        part = {k: v[order[np.repeat(several, times)]] for k, v in e.items()} | {"key": np.zeros(int(times[several].sum()), np.uint64)}
         yield X.blobs(NAME, X.bucket_of_ids(part["rid"], buckets), MARK, **part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,20 +178,21 @@ def _shared(buckets: int):
         shared[:-1] |= shared[1:].copy()
         hit = order[np.repeat(shared, np.diff(np.append(start, len(order))))]
         hit = hit[~known[hit]]  # the others are among the marks
-        part = {k: np.concatenate([marks[k], e[k][hit]]) for k in NAME}
+        part = {k: np.concatenate([marks[k], e[k][hit]]) for k in ("rid", "at")}
+        part["key"] = np.zeros(len(part["rid"]), np.uint64)
         return pa.Table.from_batches([X.blobs(NAME, X.bucket_of_ids(part["rid"], buckets), MARK, **part)])
 
     return run
 
 
 def _hits(table: pa.Table) -> pa.Table:
+    """For each text the first window and the number of windows of each run of them that a shared name represents."""
     e = X.arrays(table, NAME)
     order, start = X.groups(e["rid"], e["at"])
     order = order[start]  # of rows that repeat one is enough
-    got = np.zeros(len(order), HIT)
-    got["key"], got["at"], rid = e["key"][order], e["at"][order], e["rid"][order]
+    at, rid = e["at"][order], e["rid"][order]
     _, start = X.groups(rid)
-    rows = [(int(rid[s]), got[s:c].tobytes()) for s, c in X.spans(start, len(rid))]
+    rows = [(int(rid[s]), at[s:c].tobytes()) for s, c in X.spans(start, len(rid))]
     return pa.table({"rid": pa.array([r[0] for r in rows], pa.int64()), "hits": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -208,7 +209,7 @@ def as_ranges(rid: np.ndarray, at: np.ndarray, size: int) -> dict[str, np.ndarra
 
 def _later(e: dict[str, np.ndarray]) -> np.ndarray:
     """Entries whose window a smaller document has."""
-    order, start = X.groups(e["key"], e["window"])
+    order, start = X.groups(e["window"], e["check"])
     if not len(order):
         return np.zeros(0, bool)
     least = np.minimum.reduceat(e["doc"][order], start)
@@ -224,10 +225,10 @@ def _windows(buckets: int, size: int):
         e = got.take()
         later = _later(e)
         part = {k: v[~later] for k, v in e.items()}
-        yield X.blobs(fields, X.bucket_of(part["key"], buckets), SINGLE, **part, end=part["at"])
+        yield X.blobs(fields, X.bucket_of(part["window"], buckets), SINGLE, **part, end=part["at"])
         r = as_ranges(e["rid"][later], e["at"][later], size)
         zero = np.zeros(len(r["rid"]), np.uint64)
-        yield X.blobs(fields, X.bucket_of_ids(r["rid"], buckets), MARK, key=zero, window=zero, doc=zero, rid=r["rid"], at=r["start"], end=r["end"])
+        yield X.blobs(fields, X.bucket_of_ids(r["rid"], buckets), MARK, window=zero, check=zero, doc=zero, rid=r["rid"], at=r["start"], end=r["end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = X.Gather(WINDOW)
@@ -235,16 +236,17 @@ def _windows(buckets: int, size: int):
             for block in B.blocks(batch, key="rid"):
                 found = B.words(block)
                 where = B.windows(found, size)
-                prints = np.zeros(len(found), np.uint64)
-                prints[where] = B.fingerprint(B.prefix(B.word_hashes(block, found)), where, where + size)
+                prints = np.zeros((2, len(found)), np.uint64)
+                for k in (0, 1):
+                    prints[k, where] = B.fingerprint(B.prefix(B.word_hashes(block, found, second=bool(k))), where, where + size)
                 docs, rids = block.column("doc_id").to_numpy(zero_copy_only=False), block.ids.to_numpy(zero_copy_only=False)
-                hits = [np.frombuffer(x.as_py(), HIT) for x in block.column("hits")]
+                hits = [np.frombuffer(x.as_py(), "<u4") for x in block.column("hits")]
                 row = np.repeat(np.arange(len(block)), [len(h) for h in hits])
                 hits = np.concatenate(hits)
-                many = (hits["at"] & 15).astype(np.int64)
-                at = B.ragged((hits["at"] >> 4).astype(np.int64), many)
+                many = (hits & 15).astype(np.int64)
+                at = B.ragged((hits >> 4).astype(np.int64), many)
                 row = np.repeat(row, many)
-                if got.add(key=np.repeat(hits["key"], many), window=prints[found.at[row] + at], doc=docs[row], rid=rids[row], at=at):
+                if got.add(window=prints[0, found.at[row] + at], check=prints[1, found.at[row] + at], doc=docs[row], rid=rids[row], at=at):
                     yield from flush(got)
         yield from flush(got)
 
@@ -294,8 +296,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _find_hits(texts: DataFrame, buckets: int, size: int) -> WorkTable:
     """The first step's result. Its frames end with this call, so release() can drop their shuffle files."""
     names = texts.select("rid", "text").mapInArrow(_names(buckets, size), X.schema(NAME))
-    shared = X.reduce_buckets(names, _shared(buckets), X.schema(NAME))
-    return WorkTable(X.reduce_buckets(shared, _hits, "rid long, hits binary"), "recompression-hits")
+    shared = X.reduce_buckets(names, _shared(buckets), X.schema(NAME), buckets)
+    return WorkTable(X.reduce_buckets(shared, _hits, "rid long, hits binary", buckets), "recompression-hits")
 
 
 def _find_ranges(texts: DataFrame, hits: WorkTable, buckets: int, size: int) -> WorkTable:
@@ -303,8 +305,8 @@ def _find_ranges(texts: DataFrame, hits: WorkTable, buckets: int, size: int) ->
     known = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST_ID))).join(hits.read(), "rid")
     send, fields = _windows(buckets, size)
     windows = known.mapInArrow(send, X.schema(fields))
-    verified = X.reduce_buckets(windows, _verify(buckets, size, fields), X.schema(RANGE))
-    return WorkTable(X.reduce_buckets(verified, _ranges, "rid long, ranges binary"), "recompression-ranges")
+    verified = X.reduce_buckets(windows, _verify(buckets, size, fields), X.schema(RANGE), buckets)
+    return WorkTable(X.reduce_buckets(verified, _ranges, "rid long, ranges binary", buckets), "recompression-ranges")
 
 
 def remove_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
