@@ -58,6 +58,22 @@ def test_windows_on_the_table(spark, table_rows):
     same(recompression.remove_windows(documents(spark, table_rows).repartition(7)).collect(), removed_windows(table_rows))
 
 
+def test_a_common_phrase_is_dealt_out_by_its_windows():
+    """One phrase in many different surroundings: no bucket gets much more than its share of the windows."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from voltweave.llm import exchange as X
+
+    texts = [" ".join([*(f"x{k}n{j}" for j in range(8)), "a", "common", "phrase", "of", "six", "words", *(f"y{k}n{j}" for j in range(8))]) for k in range(3000)]
+    hits = [np.arange(10, dtype="<u4").repeat(1) << 4 | 1 for _ in texts]
+    batch = pa.record_batch([pa.array(range(3000)), pa.array(range(3000)), pa.array(texts), pa.array([h.astype("<u4").tobytes() for h in hits])], names=["rid", "doc_id", "text", "hits"])
+    run, fields = recompression._windows(64, 13)
+    sent = pa.Table.from_batches(list(run(iter([batch]))))
+    sizes = {b: len(X.arrays(sent.filter(pc.equal(sent["bucket"], b)), fields, 0)["window"]) for b in set(sent["bucket"].to_pylist())}
+    assert sum(sizes.values()) == 30000 and max(sizes.values()) < 2 * 30000 / 64
+
+
 def test_every_window_has_one_representative_and_equal_windows_the_same():
     rng = np.random.default_rng(3)
     passage = " ".join(f"p{k}" for k in rng.integers(0, 9, 40))
@@ -85,6 +101,17 @@ def test_bytes_corner_cases(spark, corner_rows):
     assert suffixes.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [(1, 1), (0, 0), (3, 2), (100, 4)])
+def test_hot_grams_are_dealt_out(spark, hot, corner_rows):
+    """A common line in different surroundings, and all else, whatever share of it is dealt out."""
+    rng = random.Random(31)
+    line = "this very line is common to a great many documents of the table, and what is around it differs from one to the next of them all; "
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    rows = [(k, noise(rng.choice([0, 30, 150])) + line + rng.choice(["", "with a shared end that goes on for quite a while, as ends do at times, longer and longer", noise(90)]) + noise(60)) for k in range(60)]
+    rows += [(100 + d, t) for d, t in repeated(9, n=25, vocabulary=6)] + [(1000 + (d or 0), t) for d, t in corner_rows]
+    same(suffixes.remove_repeats(documents(spark, rows).repartition(4), hot=hot).collect(), removed_bytes(rows))
+
+
 @pytest.mark.parametrize("shallow", [0, 8, 24, 64])
 def test_deep_shallow_order(shallow):
     rng = np.random.default_rng(shallow)

@@ -13,7 +13,12 @@ comparing, and only with those whose gram is the same.
    contexts share the string that starts d bytes before the anchor if they lie in one interval of the
    suffix order with SIZE - d common bytes and in one interval of the prefix order with d. Intervals
    follow from neighbours' common prefixes, so no pairs are formed.
-3. The ranges found are joined back to the texts.
+3. A gram with very many different contexts, as a common line has, is dealt out instead of sorted: its contexts'
+   strings go each to its own bucket, as two independent prints of 64 bits, and are settled in a task first. A
+   task that finds such a gram says so in the gram's bucket with one entry, so a hot gram fills no bucket.
+4. The ranges found are joined back to the texts.
+
+Contexts that are equal as a whole are told by a print of 64 bits among those of one gram only.
 
 What a shuffle moves is anchors (one in some 70 bytes), then contexts that differ near a repeat, and the
 texts once for each of the last two steps. Work tables of requests and ranges cut the lineage.
@@ -44,10 +49,17 @@ SHALLOW_PREFIX = 32
 #: A byte that no UTF-8 text has; it ends a context.
 PAD = 0xFF
 
+#: Different contexts of one gram that a task sends, and that a bucket sorts, at most.
+HOT_TASK, HOT_BUCKET = 1024, 1 << 14
+#: Contexts whose strings are dealt out at once.
+DEALT = 1 << 12
+
 ANCHOR = {"key": "<u8", "ctx": "<u8", "uid": "<i8", "at": "<u4", "right": "<u2"}
 REPLY = {"uid": "<i8", "at": "<u4", "right": "<u2", "key": "<u8", "many": "<u1"}
 REQUEST = np.dtype([("key", "<u8"), ("at", "<u4"), ("right", "<u2"), ("many", "<u1")])
-SINGLE, SEVERAL, MARK = 0, 1, 2
+SINGLE, SEVERAL, MARK, HOT, STRING, STRINGS = range(6)
+#: Bits of many: other contexts are equal as a whole; the context is dealt out.
+EQUAL, DEAL = 1, 2
 
 
 def context(size: int, gram: int) -> dict[str, str]:
@@ -78,18 +90,24 @@ def anchors(buf: np.ndarray, at: np.ndarray, sums: np.ndarray, size: int, gram:
     return where, grams[where]
 
 
-def _find(buckets: int, size: int, gram: int):
+def _find(buckets: int, size: int, gram: int, hot: int):
     def flush(got: X.Gather) -> Iterator[pa.RecordBatch]:
         e = got.take()
         order, start = X.groups(e["key"], e["ctx"])
         times = np.diff(np.append(start, len(order)))
         one = order[start]
-        for kind, which in ((SINGLE, one[times == 1]), (SEVERAL, one[times > 1])):
+        _, of, kinds = np.unique(e["key"][one], return_inverse=True, return_counts=True)
+        dealt = kinds[of] > hot if len(one) else np.zeros(0, bool)
+        for kind, which in ((SINGLE, one[(times == 1) & ~dealt]), (SEVERAL, one[(times > 1) & ~dealt])):
             part = {k: v[which] for k, v in e.items()}
             yield X.blobs(ANCHOR, X.bucket_of(part["key"], buckets), kind, **part)
+        keys = np.unique(e["key"][one[dealt]])
+        zero = np.zeros(len(keys), np.int64)
+        yield X.blobs(ANCHOR, X.bucket_of(keys, buckets), HOT, key=keys, ctx=zero, uid=zero, at=zero, right=zero)
         again = order[np.repeat(times > 1, times)]
-        part = {k: v[again] for k, v in e.items()} | {"key": np.zeros(len(again), np.uint64), "ctx": np.zeros(len(again), np.uint64)}
-        yield X.blobs(ANCHOR, X.bucket_of_ids(part["uid"], buckets), MARK, **part)
+        for kind, which, key in ((MARK, again, 0), (HOT, one[dealt], 1)):
+            part = {k: v[which] for k, v in e.items()} | {"key": np.zeros(len(which), np.uint64), "ctx": np.full(len(which), key, np.uint64)}
+            yield X.blobs(ANCHOR, X.bucket_of_ids(part["uid"], buckets), MARK, **part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = X.Gather(ANCHOR)
@@ -107,11 +125,11 @@ def _find(buckets: int, size: int, gram: int):
     return run
 
 
-def _compare(buckets: int):
+def _compare(buckets: int, hot: int):
     """Of the anchors in one bucket of grams: marks for equal contexts, requests where contexts differ."""
 
     def run(table: pa.Table) -> pa.Table:
-        single, several, marks = (X.arrays(table, ANCHOR, k) for k in (SINGLE, SEVERAL, MARK))
+        single, several, passed, flags = (X.arrays(table, ANCHOR, k) for k in (SINGLE, SEVERAL, MARK, HOT))
         e = {k: np.concatenate([single[k], several[k]]) for k in ANCHOR}
         many = np.arange(len(e["key"])) >= len(single["key"])
         order, start = X.groups(e["key"], e["ctx"])
@@ -120,12 +138,14 @@ def _compare(buckets: int):
         again = order[np.repeat(total > 1, size)]
         keys = e["key"][order[start]]
         _, of, kinds = np.unique(keys, return_inverse=True, return_counts=True)
-        ask = np.flatnonzero(kinds[of] > 1) if len(keys) else np.zeros(0, np.int64)
-        out = []
-        for kind, part in ((MARK, {k: np.concatenate([marks[k], e[k][again]]) for k in ("uid", "at", "right", "key")}), (SINGLE, {k: e[k][order[start[ask]]] for k in ("uid", "at", "right", "key")})):
-            part["many"] = total[ask] > 1 if kind == SINGLE else np.ones(len(part["uid"]), np.uint8)
-            out.append(X.blobs(REPLY, X.bucket_of_ids(part["uid"], buckets), kind, **part))
-        return pa.Table.from_batches(out)
+        dealt = (kinds[of] > hot) | np.isin(keys, flags["key"]) if len(keys) else np.zeros(0, bool)
+        ask = np.flatnonzero((kinds[of] > 1) | dealt) if len(keys) else np.zeros(0, np.int64)
+        names = ("uid", "at", "right", "key")
+        own = passed["ctx"] == 0  # the others ask to be dealt out
+        marks = {k: np.concatenate([passed[k][own], e[k][again]]) for k in names} | {"many": np.full(int(own.sum()) + len(again), EQUAL)}
+        asked = {k: np.concatenate([passed[k][~own], e[k][order[start[ask]]]]) for k in names}
+        asked["many"] = np.concatenate([np.full(int((~own).sum()), DEAL), np.where(total[ask] > 1, EQUAL, 0) | np.where(dealt[ask], DEAL, 0)])
+        return pa.Table.from_batches([X.blobs(REPLY, X.bucket_of_ids(part["uid"], buckets), kind, **part) for kind, part in ((MARK, marks), (SINGLE, asked))])
 
     return run
 
@@ -163,17 +183,45 @@ def _by_text(size: int, gram: int):
 
 
 def _send(buckets: int, size: int, gram: int):
-    """The contexts that were asked for: reversed bytes before the anchor, then those from it on."""
+    """The contexts that were asked for: reversed bytes before the anchor, then those from it on; or all their strings' prints."""
     fields = context(size, gram)
     before = size - gram
 
+    def contexts(e: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return X.blobs(fields, X.bucket_of(e["key"], buckets), SINGLE, **e)
+
+    def strings(e: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Those that the task has in several places are marked here, and one of each is sent."""
+        order, start = X.groups(e["key"], e["check"], e["uid"], e["at"])
+        order = order[start]  # copies of a text, and two anchors of one string, send the same place
+        e = {k: v[order] for k, v in e.items()}
+        order, start = X.groups(e["key"], e["check"])
+        times = np.diff(np.append(start, len(order)))
+        one = order[start]
+        for kind, which in ((STRING, one[times == 1]), (STRINGS, one[times > 1]), (MARK, order[np.repeat(times > 1, times)])):
+            part = {k: v[which] for k, v in e.items()}
+            yield string_blobs(fields, X.bucket_of_ids(part["uid"], buckets) if kind == MARK else X.bucket_of(part["key"], buckets), kind, part)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = X.Gather(fields, 1 << 14)
-        flush = lambda e: X.blobs(fields, X.bucket_of(e["key"], buckets), SINGLE, **e)
+        got, dealt = X.Gather(fields, 1 << 14), X.Gather(PLACE)
         for batch in batches:
             for block in B.blocks(batch, key="uid"):
+                sums = None
                 for k, (uid, raw) in enumerate(zip(block.ids.to_pylist(), block.column("requests"), strict=True)):
                     ask = np.frombuffer(raw.as_py(), REQUEST)
+                    deal = (ask["many"] & DEAL) > 0
+                    for s in range(0, int(deal.sum()), DEALT):
+                        sums = sums or (B.bytes_prefix(block.buf), B.bytes_prefix(block.buf, second=True))
+                        part = ask[deal][s : s + DEALT]
+                        at, right = part["at"].astype(np.int64), part["right"].astype(np.int64)
+                        low, high = np.minimum(at, before), np.maximum(0, size - right)  # a string starts so many bytes before its anchor at most, at least
+                        many = np.maximum(0, low - high + 1)
+                        start = block.at[k] + B.ragged(at - low, many)
+                        if dealt.add(key=B.fingerprint(sums[0], start, start + size), check=B.fingerprint(sums[1], start, start + size), uid=np.full(len(start), uid), at=start - block.at[k]):
+                            yield from strings(dealt.take())
+                    ask = ask[~deal]
+                    if not len(ask):
+                        continue
                     text = block.buf[block.at[k] : block.at[k + 1]]
                     data = np.full((len(ask), before + size), PAD, np.uint8)
                     left, right, at = np.minimum(ask["at"], before), ask["right"], ask["at"].astype(np.int64)
@@ -184,12 +232,27 @@ def _send(buckets: int, size: int, gram: int):
                     inside = spot < right[:, None]
                     data[:, before:][inside] = text[(at[:, None] + spot)[inside]]
                     if got.add(key=ask["key"], uid=np.full(len(ask), uid), at=at, left=left, right=right, many=ask["many"], data=data.view(fields["data"]).ravel()):
-                        yield flush(got.take())
-        yield flush(got.take())
+                        yield contexts(got.take())
+        yield contexts(got.take())
+        yield from strings(dealt.take())
 
     return run
 
 
+PLACE = {"key": "<u8", "check": "<u8", "uid": "<i8", "at": "<u4"}
+
+
+def string_blobs(fields: dict[str, str], bucket: np.ndarray, kind: int, part: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Strings in the columns of contexts: the second print stands for the data."""
+    zero = np.zeros(len(bucket), np.uint8)
+    return X.blobs(fields | {"data": "<u8", "left": "u1", "right": "u1"}, bucket, kind, key=part["key"], uid=part["uid"], at=part["at"], left=zero, right=zero, many=zero, data=part["check"])
+
+
+def string_arrays(table: pa.Table, kind: int) -> dict[str, np.ndarray]:
+    e = X.arrays(table.select(["kind", "key", "uid", "at", "data"]), {"key": "<u8", "uid": "<i8", "at": "<u4", "data": "<u8"}, kind)
+    return e | {"check": e["data"]}
+
+
 class BlindTrie:
     """Orders strings that share a long prefix. Inner nodes hold only the place of a difference; one full comparison finds where a string belongs."""
 
@@ -294,7 +357,7 @@ def _sort(buckets: int, size: int, gram: int):
     fields = context(size, gram)
 
     def run(table: pa.Table) -> pa.Table:
-        e = X.arrays(table, fields)
+        e = X.arrays(table, fields, SINGLE)
         first, start = X.groups(e["uid"], e["at"])  # copies of a text send the same context
         e = {k: v[first[start]] for k, v in e.items()}
         data = e["data"].view(np.uint8).reshape(len(e["data"]), 2 * size - gram)
@@ -305,11 +368,33 @@ def _sort(buckets: int, size: int, gram: int):
         _, high = np.nonzero(edge == -1)
         at = e["at"][row].astype(np.int64)
         got = {"uid": e["uid"][row], "start": at - (high - 1), "end": at - low + size}
+        single, several, marks = (string_arrays(table, k) for k in (STRING, STRINGS, MARK))
+        both = {k: np.concatenate([single[k], several[k]]) for k in PLACE}
+        order, start = X.groups(both["key"], both["check"], both["uid"], both["at"])
+        place = order[start]
+        order, start = X.groups(both["key"][place], both["check"][place])
+        times = np.diff(np.append(start, len(order)))
+        known = np.add.reduceat((place[order] >= len(single["key"])).astype(np.int64), start) if len(start) else times
+        again = place[order[np.repeat((times > 1) | (known > 0), times)]]
+        uid, begin = (np.concatenate([marks[k], both[k][again]]) for k in ("uid", "at"))
+        r = joined_strings(uid, begin.astype(np.int64), size)
+        got = {k: np.concatenate([got[k], r[k]]) for k in got}
         return pa.Table.from_batches([X.blobs(RANGE, X.bucket_of_ids(got["uid"], buckets), MARK, **got)])
 
     return run
 
 
+def joined_strings(uid: np.ndarray, at: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """Strings as ranges, neighbours of one text joined."""
+    order = np.lexsort((at, uid))
+    uid, at = uid[order], at[order]
+    new = np.ones(len(uid), bool)
+    new[1:] = (uid[1:] != uid[:-1]) | (at[1:] > at[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(uid)) - 1 if len(uid) else first
+    return {"uid": uid[first], "start": at[first], "end": at[last] + size}
+
+
 RANGE = {"uid": "<i8", "start": "<u4", "end": "<u4"}
 
 
@@ -336,20 +421,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """One row per document; needs doc_id and text, ignores all other columns."""
+def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM, hot: tuple[int, int] = (HOT_TASK, HOT_BUCKET)) -> DataFrame:
+    """One row per document; needs doc_id and text, ignores all other columns. hot: contexts of one gram that a task sends and that a bucket sorts; beyond, a gram is dealt out."""
     spark = docs.sparkSession
     buckets = bucket_count(docs)
     body = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body, F.octet_length(body)).alias("uid"))
-    found = texts.select("uid", "text").mapInArrow(_find(buckets, size, gram), X.schema(ANCHOR))
-    replies = X.reduce_buckets(found, _compare(buckets), X.schema(REPLY))
-    first = WorkTable(X.reduce_buckets(replies, _by_text(size, gram), "uid long, ranges binary, requests binary"), "suffix-requests")
+    found = texts.select("uid", "text").mapInArrow(_find(buckets, size, gram, hot[0]), X.schema(ANCHOR))
+    replies = X.reduce_buckets(found, _compare(buckets, hot[1]), X.schema(REPLY), buckets)
+    first = WorkTable(X.reduce_buckets(replies, _by_text(size, gram), "uid long, ranges binary, requests binary", buckets), "suffix-requests")
     release(spark)
     asked = texts.select("uid", "text").join(first.read().where("requests IS NOT NULL").select("uid", "requests"), "uid")
     sent = asked.mapInArrow(_send(buckets, size, gram), X.schema(context(size, gram)))
-    sorted_ = X.reduce_buckets(sent, _sort(buckets, size, gram), X.schema(RANGE))
-    second = WorkTable(X.reduce_buckets(sorted_, _ranges, "uid long, more binary"), "suffix-ranges")
+    sorted_ = X.reduce_buckets(sent, _sort(buckets, size, gram), X.schema(RANGE), buckets)
+    second = WorkTable(X.reduce_buckets(sorted_, _ranges, "uid long, more binary", buckets), "suffix-ranges")
     release(spark)
     marked = texts.join(first.read().where("ranges IS NOT NULL").select("uid", "ranges"), "uid", "left").join(second.read(), "uid", "left")
     return marked.select("doc_id", "text", "ranges", "more").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
