@@ -50,6 +50,42 @@ def test_archives_are_archives_and_damage_is_noticed(spark, tmp_path):
     assert shared_dir(spark)
 
 
+def test_members_and_pieces_of_archives(spark, tmp_path):
+    """One gzip member for each record is the common form; members may also be cut anywhere, and a record is whole in any."""
+    path = str(tmp_path / "w")
+    rows = [(k, f"http://a/{k}", f"<p>{k} " + "z" * (k * 3000)) for k in range(40)] + [(50, "http://b", "<p>5 " + "z" * 15000)]
+    warc.write_archives(pages(spark, rows).coalesce(1), path)
+    data = b"".join(gzip.open(f"{path}/{f}").read() for f in os.listdir(path) if f.endswith(".gz"))
+    found = list(warc.records(data))
+    assert len(found) == 41
+    for cuts in (range(0, len(data), 999), [0], [0, *(data.index(b"WARC/1.1\r\n", k) for k in range(1, len(data), 50000) if b"WARC/1.1\r\n" in data[k:])]):
+        cuts = sorted({*cuts, len(data)})
+        members = b"".join(gzip.compress(data[a:b]) + b"\0" * (a % 3) for a, b in zip(cuts, cuts[1:], strict=False))
+        assert list(warc.records(warc.unzipped(members))) == found
+    with pytest.raises(ValueError):
+        list(warc.records(warc.unzipped(gzip.compress(data)[:-9])))
+    with pytest.raises(ValueError):
+        list(warc.records(warc.unzipped(b"no archive")))
+    for name, parts in (("each", 41), ("three", 3)):
+        os.makedirs(tmp_path / name)
+        lines = [x + b"" for x in data.split(b"WARC/1.1\r\n")[1:]]
+        step = -(-len(lines) // parts)
+        (tmp_path / name / "x.warc.gz").write_bytes(b"".join(gzip.compress(b"".join(b"WARC/1.1\r\n" + x for x in lines[k : k + step])) for k in range(0, len(lines), step)))
+        got = warc.read_archives(spark, str(tmp_path / name))
+        assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got.select("page_id", "record_type", "refers_to").collect()) == [(k, "revisit", 50) if k == 5 else (k, "response", None) for k in [*range(40), 50]]
+
+
+def test_archives_are_bounded_and_pages_meet_revisits_both_ways(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20000)
+    rows = [(k, "u", f"<p>{k % 9} " + "z" * 4000) for k in range(60)] + [(99, "u", "y" * 50000)]
+    plain = sorted(map(tuple, warc.archive_round_trip(pages(spark, rows)).collect()), key=str)
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "w"))
+    sizes = [len(gzip.open(tmp_path / "w" / f).read()) for f in os.listdir(tmp_path / "w") if f.endswith(".gz")]
+    assert len(sizes) > 3 and sorted(sizes)[-1] > 50000 and all(n <= 20004 for n in sorted(sizes)[:-1])
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, warc.archive_round_trip(pages(spark, rows)).collect()), key=str) == plain
+
+
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=1>Home</a></li><li><a href=2>More</a></li></ul></nav><div class="cookie-notice">We use cookies on this long page, accept them all please.</div>
 <article><h1>The title</h1><p><b>First &amp; bold text that is rather long<br>and goes on</b> for a while.<p>Short.</p><ul><li>An item</li></ul>

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -10,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,20 +19,34 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named (single machine)."""
+    """The folder that the cluster names for checkpoints; on a single machine a temporary one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="voltweave-shared-")
         _own[spark.sparkContext.applicationId] = named
     return named.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder for work tables within the shared one. It goes when the application ends."""
+    path = f"{shared_dir(spark)}/voltweave/{spark.sparkContext.applicationId}"
+    if path not in _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _made.add(path)
+    return path
+
+
 class WorkTable:
     """A written table that cuts lineage: later stages read files, so a lost executor costs no recomputation of what came before."""
 
     def __init__(self, df: DataFrame, label: str = "work"):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/voltweave/{label}-{uuid.uuid4().hex}"
+        self.path = f"{work_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
         self.schema = df.schema
         df.write.option("compression", "zstd").parquet(self.path)
 
