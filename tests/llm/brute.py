@@ -155,3 +155,48 @@ def overlaps(docs, items, percent=80, least=13, drop=4):
             if best:
                 out[d, i] = best
     return out
+
+
+def kept_by_quality(rows):
+    """Rows (doc_id, text, source) that pass every rule and whose host passes, from the rules' statement."""
+    def fails(text):
+        w = WORD.findall(text or "")
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        times = Counter(grams)
+        repeated = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)}
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        symbols = sum(c in "#*$%&|<>" for c in text or "")
+        return len(w) < 10 or 100 * len(repeated) > 20 * len(w) or 10 * symbols > len(w) or 100 * (len(lines) - len(set(lines))) > 50 * len(lines)
+
+    failed = [fails(t) for _, t, _ in rows]
+    n, bad = Counter(s for *_, s in rows), Counter(s for (*_, s), f in zip(rows, failed, strict=True) if f)
+    mean = sum(bad.values()) / len(rows)
+    spread = max(sum(bad[h] ** 2 / n[h] for h in n) / len(rows) - mean**2, 0)
+    strength = min(max(mean * (1 - mean) / spread - 1 if spread else 1000, 2), 1000)
+    return [r for r, f in zip(rows, failed, strict=True) if not f and (bad[r[2]] + mean * strength) / (n[r[2]] + strength) <= 0.5]
+
+
+ADDRESS = re.compile(r"(?<![^\W_])(?:https?://|HTTPS?://|Https?://|ftp://|FTP://|Ftp://|mailto:|MAILTO:|Mailto:|www\.|WWW\.|Www\.)[^ \t\n\r\x0b\x0c\"'<>{}|\\^`]*")
+
+
+def address_spans(text):
+    out = []
+    for m in ADDRESS.finditer(text):
+        end = m.end() - len(m[0]) + len(m[0].rstrip(".,;:!?)]"))
+        host = text[m.start() + len(re.match(r"(?i)https?://|ftp://|mailto:|www\.", m[0])[0]) : end]
+        if re.search(r"[.@]", host):
+            out.append(("url", m.start(), end))
+    return out
+
+
+def redacted(text, more=()):
+    """Spans replaced by their kinds; overlapping ones are one, named by the first, then the longest."""
+    out, at, merged = "", 0, []
+    for s, e, k in sorted(((s, -e, k) for k, s, e in [*base_spans(text), *address_spans(text), *more])):
+        if merged and s < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], -e)
+        else:
+            merged.append([s, -e, k])
+    for s, e, k in merged:
+        out, at = out + text[at:s] + f"[{k.upper()}]", e
+    return out + text[at:]

@@ -3,7 +3,7 @@
 from decimal import Decimal
 
 import pytest
-from brute import documents, near, same
+from brute import documents, kept_by_quality, near, overlaps, redacted, same
 
 import corpus_pipeline
 from voltweave.llm import decontaminate, pii, quality, queries
@@ -45,6 +45,28 @@ def test_pipeline_stages(spark, small):
     assert {(r["doc_id"], r["doc_tokens"]) for r in whole.collect()} == {(r["doc_id"], r["doc_tokens"]) for r in packed.collect()}
 
 
+def test_pipeline_equals_plain_versions(spark, small):
+    """The whole run against versions written from the stages' statements."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    from voltweave.llm import packing
+
+    t = pq.read_table(f"{small}/documents.parquet").to_pydict()
+    items = list(map(tuple, zip(*pq.read_table(f"{small}/benchmark.parquet", columns=["item_id", "text"]).to_pydict().values(), strict=True)))
+    rows = kept_by_quality(list(zip(t["doc_id"], t["text"], t["source"], strict=True)))
+    rows = [(d, x) for d, x, _ in rows]
+    first = {d for d, _, _, kept in near(rows, 5, 80) if kept}
+    rows = [(d, x) for d, x in rows if d in first]
+    bad = {d for d, _ in overlaps(rows, items)}
+    rows = [(d, redacted(x, [("account", s, e) for s, e in pii.find(x)["account"]])) for d, x in rows if d not in bad]
+    model = Tokenizer.from_file(packing.default_tokenizer())
+    wanted = {(d, len(model.encode(x, add_special_tokens=False).ids) + 1) for d, x in rows}
+    got = corpus_pipeline.run(spark, small).collect()
+    assert bad and {(r["doc_id"], r["doc_tokens"]) for r in got} == wanted
+    assert sum(r["length"] for r in got) == sum(n for _, n in wanted)
+
+
 def test_pipeline_corner_cases(spark, corner_rows, small):
     clean = [(100 + k, " ".join(f"c{k}x{i}" for i in range(30))) for k in range(40)]  # else the host fails
     docs = documents(spark, corner_rows + clean, extra=True)

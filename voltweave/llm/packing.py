@@ -6,7 +6,8 @@ skew. Every task is deterministic, so a repeated task gives the same sequences a
 A document's whole windows become sequences of their own. What is left is routed to the smallest tier
 that holds it (2048, 1024, 512 or 256 tokens). Each tier packs its own windows; a window's gap is filled
 with the largest waiting piece of a shorter tier that fits, and the last of the gap by cutting one piece.
-The rest at a task's end is cut into windows of a power of two, which need no padding.
+The rest at a task's end is cut into windows of a power of two, which need no padding. Sequences of one length
+form step groups of as many tokens each, and of as even a number of pieces as they allow.
 
 Defined cases: a null or empty text is one end token; a null doc_id stays null; repeated rows are packed
 as often as they occur; an empty table gives an empty result.
@@ -15,6 +16,7 @@ as often as they occur; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import heapq
 import os
 import zlib
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ END_ID = 1
 #: Tokens of one optimizer step; the sequences of a step all have one length.
 STEP_TOKENS = 16384
 #: Distinct pieces whose ids a worker remembers before it starts anew (some 40 bytes each), and how many are encoded in one call.
-CACHED_WORDS = 1 << 21
+CACHED_WORDS = 1 << 20
 JOINED_PIECES = 4096
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_id long"
@@ -159,6 +161,43 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+class Steps:
+    """Groups of sequences of one length for optimizer steps. All groups of a length have as many sequences, but for the last of a task; sequences of many pieces are dealt to the groups that have fewest."""
+
+    def __init__(self, tokens: int = STEP_TOKENS):
+        self.tokens, self.serial = tokens, 0
+        self.open: dict[int, list[int]] = {}  # of each length the group that has room: its number, sequences, pieces
+
+    def deal(self, made: list[tuple[int, list[tuple]]]) -> list[int]:
+        """The group of each sequence (length, pieces)."""
+        out, by_size = [0] * len(made), {}
+        for k, (size, _) in enumerate(made):
+            by_size.setdefault(size, []).append(k)
+        for size, which in by_size.items():
+            each, left = max(1, self.tokens // size), len(which)
+            groups = []  # pieces, number, room, sequences before
+            while left:
+                number, n, pieces = self.open.pop(size, None) or [self.serial, 0, 0]
+                self.serial += number == self.serial
+                room = min(each - n, left)
+                groups.append([pieces, number, room, n + room])
+                left -= room
+            if groups[-1][3] < each:
+                self.open[size] = groups[-1]
+            heap = list(groups)
+            heapq.heapify(heap)
+            for k in sorted(which, key=lambda k: -len(made[k][1])):
+                group = heap[0]
+                out[k] = group[1]
+                group[0] += len(made[k][1])
+                group[2] -= 1
+                heapq.heapreplace(heap, group) if group[2] else heapq.heappop(heap)
+            if size in self.open:
+                pieces, number, _, n = self.open[size]
+                self.open[size] = [number, n, pieces]
+        return out
+
+
 class Packer:
     """Sequences of one task. A piece is (document row, start, length); waiting[t] is sorted by length."""
 
@@ -225,16 +264,13 @@ def pack_partition(path: str, tiers: tuple[int, ...] = TIERS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(path)
         packer, task = Packer(tiers), TaskContext.get().partitionId()
-        number, steps, serial = 0, dict.fromkeys([1 << b for b in range(31)], 0), {}
+        number, steps = 0, Steps()
         held: dict[int, tuple] = {}  # ids of documents that still have a waiting piece
 
         def flush() -> pa.RecordBatch:
             nonlocal number
             rows = []
-            for size, pieces in packer.made:
-                each = max(1, STEP_TOKENS // size)
-                step = serial.setdefault((size, steps[size] // each), len(serial))
-                steps[size] += 1
+            for step, (size, pieces) in zip(steps.deal(packer.made), packer.made, strict=True):
                 offset = 0
                 for k, start, n in pieces:
                     doc, ids = held[k]

@@ -64,7 +64,98 @@ QUERIES = {
 
 WORD = r"[^\x20\x09-\x0D]+"
 
+TOKEN = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op2_spaced_seeds": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '{TOKEN}') AS w FROM documents
+), i AS (
+  SELECT row_number() OVER () AS k, item_id, regexp_extract_all({LOWER}, '{TOKEN}') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)
+), dw AS (
+  SELECT r, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d
+), iw AS (
+  SELECT k, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM i
+), hit AS (
+  SELECT r, k, p - q AS diagonal, p, q, size, n FROM dw JOIN iw USING (word)
+), much AS (
+  SELECT r, k, diagonal FROM hit GROUP BY r, k, diagonal, n HAVING 100 * count(*) >= 80 * least(13, n)
+), h AS (
+  SELECT hit.* FROM hit JOIN much USING (r, k, diagonal)
+), whole AS (
+  SELECT r, k, diagonal, diagonal AS start_token, n AS n_aligned, count(*) AS n_agree FROM h
+  WHERE n < 13 AND diagonal >= 0 AND diagonal + n <= size GROUP BY r, k, diagonal, n HAVING min(q) = 0 AND max(q) = n - 1 AND 100 * count(*) >= 80 * n
+), cut AS (
+  SELECT *, p - lag(p) OVER (PARTITION BY r, k, diagonal ORDER BY p) > 5 AS new FROM h WHERE n >= 13
+), chain AS (
+  SELECT *, sum(coalesce(new, false)::INT) OVER (PARTITION BY r, k, diagonal ORDER BY p) AS c, row_number() OVER (PARTITION BY r, k, diagonal ORDER BY p) AS x FROM cut
+), stretch AS (
+  SELECT a.r, a.k, a.diagonal, a.p AS start_token, b.p - a.p + 1 AS n_aligned, b.x - a.x + 1 AS n_agree
+  FROM chain a JOIN chain b ON a.r = b.r AND a.k = b.k AND a.diagonal = b.diagonal AND a.c = b.c AND b.p >= a.p + 12
+  WHERE 100 * (b.x - a.x + 1) >= 80 * (b.p - a.p + 1)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY r, k ORDER BY n_agree DESC, start_token, diagonal) AS place FROM (SELECT * FROM whole UNION ALL SELECT * FROM stretch)
+)
+SELECT doc_id, item_id, CAST(start_token AS BIGINT) AS start_token, CAST(n_aligned AS BIGINT) AS n_aligned, CAST(n_agree AS BIGINT) AS n_agree
+FROM best JOIN d USING (r) JOIN i USING (k) WHERE place = 1
+""",
+    "op3_one_permutation": f"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS r, doc_id, {LOWER} AS text FROM documents
+), w AS (
+  SELECT r, regexp_extract_all(text, '{WORD}') AS words FROM t
+), s AS (
+  SELECT DISTINCT r, CASE WHEN len(words) < 3 THEN words ELSE words[i : i + 2] END AS shingle
+  FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), own AS (
+  SELECT r, md5(list(shingle ORDER BY shingle)::VARCHAR) AS class, count(*) AS n FROM s GROUP BY r
+), one AS (
+  SELECT class, min(r) AS r FROM own GROUP BY class
+), both_ AS (
+  SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN one ON a.r = one.r JOIN s b ON a.shingle = b.shingle AND a.r < b.r JOIN one o ON b.r = o.r GROUP BY a.r, b.r
+), link AS (
+  SELECT a, b FROM both_ JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), edge AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach AS (
+  SELECT r AS a, r AS b FROM one UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+), lowest AS (
+  SELECT own.class, min(t.doc_id) AS doc_id FROM own JOIN t USING (r) GROUP BY own.class
+), component AS (
+  SELECT x.class, min(l.doc_id) AS component_id FROM one x JOIN reach ON reach.a = x.r JOIN one y ON reach.b = y.r JOIN lowest l ON l.class = y.class GROUP BY x.class
+)
+SELECT t.doc_id, CAST(coalesce(own.n, 0) AS BIGINT) AS n_shingles, CASE WHEN own.n IS NULL THEN t.doc_id ELSE component_id END AS component_id,
+       t.doc_id IS NOT DISTINCT FROM CASE WHEN own.n IS NULL THEN t.doc_id ELSE component_id END AS kept
+FROM t LEFT JOIN own USING (r) LEFT JOIN component USING (class)
+""",
+    "op7_deep_shallow": """
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT r, unnest(range(0, greatest(length(x) // 2 - 199, 0))) AS i, x FROM t
+), h AS (
+  SELECT r, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM s
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS c FROM h) WHERE c > 1
+), edge AS (
+  SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200 AS first FROM again
+), part AS (
+  SELECT r, i, sum(first::INT) OVER (PARTITION BY r ORDER BY i) AS part FROM edge
+), gone AS (
+  SELECT r, part, min(i) AS low, max(i) + 200 AS high FROM part GROUP BY r, part
+), hole AS (
+  SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS before FROM gone
+), kept AS (
+  SELECT r, count(*) AS n_spans, sum(high - low) AS n_removed, max(high) AS high, string_agg(substr(x, 2 * before + 1, 2 * (low - before)), '' ORDER BY low) AS x FROM hole JOIN t USING (r) GROUP BY r
+)
+SELECT doc_id, CAST(length(t.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.x, '') || substr(t.x, 2 * coalesce(kept.high, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
+""",
     "op5_recompression": f"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
