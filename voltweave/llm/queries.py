@@ -174,6 +174,22 @@ WITH t AS (
 )
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM t LEFT JOIN s USING (r)
+""",
+    # What the operator finds on pages that mark their article and all boilerplate, as those of the test tables do.
+    "op10_text_to_tag": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article\b[^>]*>(.*)</article>', 1) AS x FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(x, '(?s)<!--.*?-->', '', 'g'),
+         '(?s)<script\b.*?</script>|<style\b.*?</style>|<form\b.*?</form>|<nav\b.*?</nav>|<aside\b.*?</aside>|<footer\b.*?</footer>|<div\b[^>]*class="?ad"?[^>]*>.*?</div>', ' ', 'g') AS x FROM a
+), c AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|div|h[1-6]|ul|ol|li|section|blockquote|table|tr|td|br)\b[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM b
+), d AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS x FROM c
+), e AS (
+  SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM d
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e
 """,
     "op1_warc_revisits": """
 WITH p AS (
