@@ -41,7 +41,7 @@ TABLE_WORDS = 1 << 18
 MODEL_WORDS = 1 << 14
 LEADERS = 16
 CLASSES = 64
-HIDDEN = 16
+HIDDEN = 12
 #: Truncation of backpropagation in tokens, lanes of a training batch, tokens gathered before training on them.
 STEPS = 16
 LANES = 512
@@ -233,17 +233,30 @@ class Network:
         """x: the layer's input, already times its weights."""
         n = HIDDEN
         u = h @ self.part["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + u[:, : 2 * n])))
+        zr = x[:, : 2 * n] + u[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r, un = zr[:, :n], zr[:, n:], u[:, 2 * n :]
-        c = np.tanh(x[:, 2 * n :] + r * un)
-        return c + z * (h - c), z, r, un, c
+        c = r * un
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, un, c
 
     def given(self, places: np.ndarray) -> np.ndarray:
         return self.vectors[places] @ self.part["wx"] + self.part["bx"]
 
-    def log_classes(self, h: np.ndarray) -> np.ndarray:
-        logits = h @ self.part["wo"] + self.part["bo"]
-        return logits - np.log(np.exp(logits) @ ONES[:CLASSES])[:, None]
+    def log_classes(self, h: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
+        """The logs of all classes' probabilities, or of those wanted, one for each state."""
+        logits = h @ self.part["wo"]
+        logits += self.part["bo"]
+        own = logits[:, :] if wanted is None else logits[np.arange(len(h)), wanted]
+        total = np.log((np.exp(logits) if wanted is None else np.exp(logits, out=logits)) @ ONES[:CLASSES])
+        return own - (total[:, None] if wanted is None else total)
 
     def by_class(self, wanted: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """For each class with several words that occurs among wanted: its range of places, and where it occurs."""
@@ -372,17 +385,18 @@ class Network:
         h = np.zeros((len(order), HIDDEN), np.float32)
         x = np.full(len(order), self.words)
         active, states, wanted, lanes, size = len(order), [], [], [], 0
+        inputs = self.given(np.arange(self.words + 1))
 
         def settle() -> None:
             hs, ws, of = np.concatenate(states), np.concatenate(wanted), np.concatenate(lanes)
-            logs = self.log_classes(hs)[np.arange(len(ws)), self.class_of[ws]] + self.log_words(hs, ws)
+            logs = self.log_classes(hs, self.class_of[ws]) + self.log_words(hs, ws)
             total[: int(of.max()) + 1] += np.bincount(of, weights=logs)
             states.clear(), wanted.clear(), lanes.clear()
 
         for t in range(int(length[0]) if len(order) else 0):
             active = int(np.searchsorted(-length[:active], -t, side="left"))
             h, x = h[:active], x[:active]
-            h = self.step(self.given(x), h)[0]
+            h = self.step(inputs[x], h)[0]
             x = places[start[:active] + t]
             states.append(h)
             wanted.append(x)
