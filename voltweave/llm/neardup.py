@@ -260,7 +260,8 @@ def candidate_texts(texts: DataFrame, pairs: WorkTable) -> WorkTable:
 
 def in_parts(pairs: DataFrame, *columns: str) -> DataFrame:
     """centre, part, node and more columns: a star's classes in parts of about CHUNK, the centre in each; more columns are null for it."""
-    sized = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    # A table, not an aggregate: Spark can then split a large star's classes in the join.
+    sized = WorkTable(pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")), "parts").read()
     members = pairs.join(sized, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", *columns)
     each = sized.select("centre", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("centre").alias("node"))
     return members.unionByName(each, allowMissingColumns=True)
@@ -290,7 +291,7 @@ def links_apart(wide: WorkTable | DataFrame, texts: WorkTable, size: int, percen
     wide = wide.read() if isinstance(wide, WorkTable) else wide
     counted = wide.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = counted.groupBy("band").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("total"))
-    largest = largest.select("band", F.col("top.comp").alias("top"), "total", (F.col("total") - F.col("top.n")).alias("away"))
+    largest = WorkTable(largest.select("band", F.col("top.comp").alias("top"), "total", (F.col("total") - F.col("top.n")).alias("away")), "largest").read()
     chunks = lambda n: F.ceil(n / (2 * CHUNK)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = wide.select("band", "node", "comp").join(largest, "band").select("band", "node", "comp", (F.col("comp") != F.col("top")).alias("roam"), chunks(F.col("total")).alias("parts"), chunks(F.col("away")).alias("turns"))
