@@ -189,10 +189,17 @@ def address_spans(text):
     return out
 
 
+TOLD = re.compile(r"(?<![^\W_])(?:" + "|".join(f"{c}|{c.upper()}|{c.capitalize()}" for c in ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key")) + r")[\"']? {0,2}(?:=>?|:) {0,2}[\"']?([A-Za-z0-9+/=_.-]{16,4096})(?![A-Za-z0-9])")
+
+
+def secret_spans(text):
+    return [("secret", *m.span(1)) for m in TOLD.finditer(text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+
+
 def redacted(text, more=()):
     """Spans replaced by their kinds; overlapping ones are one, named by the first, then the longest."""
     out, at, merged = "", 0, []
-    for s, e, k in sorted(((s, -e, k) for k, s, e in [*base_spans(text), *address_spans(text), *more])):
+    for s, e, k in sorted(((s, -e, k) for k, s, e in [*base_spans(text), *address_spans(text), *secret_spans(text), *more])):
         if merged and s < merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], -e)
         else:

@@ -1,6 +1,6 @@
 """Personal data by anchors: an Aho-Corasick automaton finds cues, small parsers expand and validate around them.
 
-Anchors are at-signs, plus signs, digits, schemes and identifier cues; text without any is never parsed.
+Anchors are at-signs, plus signs, digits, schemes and cues of identifiers and secrets; text without any is never parsed.
 Each parser is deterministic: it expands to the boundary of its own alphabet, left no further than the end
 of the kind's last match, and drops what fails validation without another try.
 
@@ -17,15 +17,16 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_url long, n_account long, n_secret long, n_spans long"
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "url", "account")
+KINDS = (*BASE_KINDS, "url", "account", "secret")
 
 # Alphabets and cues.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 URL_STOP = frozenset(" \t\n\r\x0b\x0c\"'<>{}|\\^`")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "www.")
 CUES = ("iban", "account", "acct", "konto", "cuenta", "compte", "AKIA", "ASIA")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key")
 
 DOMAIN_PART = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -33,6 +34,7 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 NUMBER = re.compile(r"[\x20:#.=-]{0,4}(?:(?:no|nr|num|number)[\x20:#.=]{1,3})?([0-9]{6,18})(?![0-9A-Za-z])", re.I)
+SECRET = re.compile(r"[\"']?\x20{0,2}(?:=>?|:)\x20{0,2}[\"']?([A-Za-z0-9+/=_.-]{16,4096})(?![A-Za-z0-9])")
 KEY = re.compile(r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 
@@ -41,7 +43,7 @@ def automaton():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for kind, patterns in (("email", "@"), ("digit", "0123456789"), ("phone", "+"), ("url", SCHEMES), ("account", CUES)):
+    for kind, patterns in (("email", "@"), ("digit", "0123456789"), ("phone", "+"), ("url", SCHEMES), ("account", CUES), ("secret", SECRET_CUES)):
         for p in patterns:
             for form in {p} if p.isupper() else {p, p.upper(), p.capitalize()}:
                 a.add_word(form, (kind, len(form)))
@@ -102,6 +104,11 @@ def find(text: str) -> dict[str, list[tuple[int, int]]]:
             host = text[at + 1 : end]
             if "." in host or "@" in host:
                 spans["url"].append((start, end))
+        elif kind == "secret":
+            if start >= done["secret"] and not (start and text[start - 1].isalnum()) and (m := SECRET.match(text, at + 1)):
+                done["secret"] = m.end(1)
+                if any(c.isdigit() for c in m[1]) and any(c.isalpha() for c in m[1]):
+                    spans["secret"].append(m.span(1))
         elif start >= done["account"] and not (start and text[start - 1].isalnum()):
             m = KEY.match(text, start)
             if m is None:
@@ -146,8 +153,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text"):
             spans = find(text.as_py() or "")
             base = joined(spans, BASE_KINDS)
-            rows.append((*(len(spans[k]) for k in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest() if base else EMPTY_SHA, joined(spans, KINDS), len(spans["url"]), len(spans["account"])))
-        columns = list(zip(*rows, strict=True)) or [[]] * 8
+            rows.append((*(len(spans[k]) for k in BASE_KINDS), hashlib.sha256(base.encode()).hexdigest() if base else EMPTY_SHA, joined(spans, KINDS), *(len(spans[k]) for k in KINDS[4:]), sum(map(len, spans.values()))))
+        columns = list(zip(*rows, strict=True)) or [[]] * 10
         kinds = [pa.string() if n in ("base_sha256", "spans") else pa.int64() for n in names[1:]]
         yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
