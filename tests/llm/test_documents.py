@@ -10,7 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import base_spans, documents, overlaps, same, WORD
+from brute import address_spans, base_spans, documents, overlaps, same, secret_spans, WORD
 
 from voltweave.llm import decontaminate, language, packing, pii, quality
 
@@ -199,12 +199,13 @@ def test_personal_data_equals_the_expressions(spark, corner_rows, table_rows):
             count = Counter(k for k, *_ in spans)
             wanted.append((d, *(count[k] for k in pii.BASE_KINDS), hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()))
         same([tuple(r)[:6] for r in got], wanted)
+        assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) == sum(r[f"n_{k}"] for k in pii.KINDS) for r in got)
 
 
 def test_long_runs_take_linear_time():
     import time
 
-    for text in ("7" * 400_000, "1 " * 200_000, "1.1." * 100_000, "+1" * 200_000, "a@" * 200_000, "1-" * 200_000 + "x", "+" + "1 " * 200_000, "a@b." * 100_000, "www." * 100_000, "iban " * 80_000):
+    for text in ("7" * 400_000, "1 " * 200_000, "1.1." * 100_000, "+1" * 200_000, "a@" * 200_000, "1-" * 200_000 + "x", "+" + "1 " * 200_000, "a@b." * 100_000, "www." * 100_000, "iban " * 80_000, "token=" * 80_000, "token" * 80_000):
         began = time.process_time()
         pii.find(text)
         assert time.process_time() - began < 20
@@ -212,10 +213,10 @@ def test_long_runs_take_linear_time():
 
 def test_added_spans_equal_plain_expressions(spark, table_rows):
     """Web addresses by an expression of their own; the other added kinds by their cues."""
-    address = re.compile(r"(?<![^\W_])(?:https?://|HTTPS?://|Https?://|ftp://|FTP://|Ftp://|mailto:|MAILTO:|Mailto:|www\.|WWW\.|Www\.)[^ \t\n\r\x0b\x0c\"'<>{}|\\^`]*")
-    for _, text in [*table_rows, (0, "x www.a.b, (http://c.d/e?f) mailto:g@h.i. awww.no www. http:// _www.x.y")]:
-        wanted = [(m.start(), m.end() - len(m[0]) + len(m[0].rstrip(".,;:!?)]"))) for m in address.finditer(text or "") if re.search(r"[.@]", m[0].rstrip(".,;:!?)]")[len(re.match(r"(?i)https?://|ftp://|mailto:|www\.", m[0])[0]) :])]
-        assert pii.find(text or "")["url"] == wanted
+    told = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" my_secret:abcdefghijklmnopqrst1 Password => "short1" tokens = 0123456789abcdef0 API_KEY: 0123456789012345678 pwd=aaaaaaaaaaaaaaaaaaaaa atoken=0123456789abcdef0'
+    for _, text in [*table_rows, (0, "x www.a.b, (http://c.d/e?f) mailto:g@h.i. awww.no www. http:// _www.x.y"), (1, told)]:
+        assert pii.find(text or "")["url"] == [(s, e) for _, s, e in address_spans(text or "")]
+        assert pii.find(text or "")["secret"] == [(s, e) for _, s, e in secret_spans(text or "")]
         for s, e in pii.find(text or "")["account"]:
             assert re.search(r"(?i)iban|account|acct|konto|cuenta|compte|A[KS]IA", text[max(0, s - 30) : e])
 
@@ -225,6 +226,8 @@ def test_more_personal_data_and_redaction(spark):
     spans = pii.find(text)
     assert [text[s:e] for s, e in spans["url"]] == ["https://example.org/a?b=1"]
     assert [text[s:e] for s, e in spans["account"]] == ["DE89 3704 0044 0532 0130 00", "12345678", "AKIA" + "A" * 16]
+    told = 'un token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" enon; the password: none, secret=abc'
+    assert pii.redact(told) == 'un token = "[SECRET]" enon; the password: none, secret=abc'
     rows = [(1, text), (2, None), (3, "clean text"), (4, "")]
     out = {r["doc_id"]: r for r in pii.redact_private(documents(spark, rows, extra=True)).collect()}
     assert "[EMAIL]" in out[1]["text"] and "me@x.org" not in out[1]["text"] and "[URL]" in out[1]["text"] and out[1]["n_chars"] == len(out[1]["text"])
@@ -291,6 +294,24 @@ def test_cache_of_words_may_be_cleared(spark, table_rows, ids, monkeypatch):
     assert all((a == b).all() for a, b in zip(got, ids([t for _, t in rows]), strict=True))
 
 
+def test_step_groups_are_even():
+    rng = random.Random(6)
+    steps = packing.Steps(16384)
+    groups = {}
+    for n in (1, 500, 3, 0, 90, 77):
+        made = [(rng.choice([256, 1024, 2048]), [()] * rng.choice([1, 1, 2, 9, 30])) for _ in range(n)]
+        for g, (size, pieces) in zip(steps.deal(made), made, strict=True):
+            groups.setdefault(g, []).append((size, len(pieces)))
+    by_size = {}
+    for g in groups.values():
+        assert len({size for size, _ in g}) == 1
+        by_size.setdefault(g[0][0], []).append((len(g), sum(n for _, n in g)))
+    for size, all_ in by_size.items():
+        full = [n for k, n in all_ if k == 16384 // size]
+        assert len(full) >= len(all_) - 1 and all(k <= 16384 // size for k, _ in all_)
+        assert size == 256 or max(full) < 2.5 * sum(full) / len(full)
+
+
 def test_pieces_give_the_tokenizers_ids(ids):
     """Letters, signs, contractions, special tokens, control characters and characters that need the tokenizer's own splitter."""
     import pyarrow as pa

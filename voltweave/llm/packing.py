@@ -33,8 +33,10 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 #: Tokens of one optimizer step; the sequences of a step all have one length.
 STEP_TOKENS = 16384
+#: Tokens of documents that are packed together: the more there are, the fewer are cut.
+PACKED_TOKENS = 1 << 21
 #: Distinct pieces whose ids a worker remembers before it starts anew (some 40 bytes each), and how many are encoded in one call.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 19
 JOINED_PIECES = 4096
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_id long"
@@ -204,6 +206,7 @@ class Packer:
     def __init__(self, tiers: tuple[int, ...] = TIERS):
         self.tiers = tiers
         self.made: list[tuple[int, list[tuple]]] = []
+        self.total = dict.fromkeys(tiers, 0)  # tokens that wait in each tier
 
     def pack(self, lengths: np.ndarray, last: bool) -> None:
         """Packs the pieces of some documents. What fills no window waits for the next call, and is cut at the last."""
@@ -218,7 +221,7 @@ class Packer:
                 self.route((n % window, k, n - n % window))
         self.rows = base + len(lengths)
         for tier in reversed(self.tiers):
-            while waiting[tier] and sum(x[0] for t in self.tiers if t <= tier for x in waiting[t][: tier]) >= tier:
+            while waiting[tier] and sum(self.total[t] for t in self.tiers if t <= tier) >= tier:
                 self.fill(tier)
         if last:
             rest = [x for t in reversed(self.tiers) for x in waiting[t]]
@@ -235,9 +238,12 @@ class Packer:
                         room -= n
                     self.made.append((size, pieces))
             self.waiting = {t: [] for t in self.tiers}
+            self.total = dict.fromkeys(self.tiers, 0)
 
     def route(self, piece: tuple[int, int, int]) -> None:
-        bisect.insort(self.waiting[next(t for t in self.tiers if piece[0] <= t)], piece)
+        tier = next(t for t in self.tiers if piece[0] <= t)
+        bisect.insort(self.waiting[tier], piece)
+        self.total[tier] += piece[0]
 
     def fill(self, tier: int) -> None:
         """One full window of a tier: its longest piece, then the longest that fits, at last part of one."""
@@ -248,9 +254,12 @@ class Packer:
                 k = bisect.bisect_right(self.waiting[t], (room, 1 << 62)) - 1
                 if k >= 0:
                     best = self.waiting[t].pop(k)
+                    self.total[t] -= best[0]
                     break
             if best is None:
-                n, k, start = next(self.waiting[t].pop(0) for t in self.tiers if t <= tier and self.waiting[t])
+                t = next(t for t in self.tiers if t <= tier and self.waiting[t])
+                n, k, start = self.waiting[t].pop(0)
+                self.total[t] -= n
                 self.route((n - room, k, start + room))
                 best = (room, k, start)
             pieces.append((best[1], best[2], best[0]))
@@ -284,15 +293,19 @@ def pack_partition(path: str, tiers: tuple[int, ...] = TIERS):
             columns = list(zip(*rows, strict=True)) or [[]] * 9
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
+        lengths, size, rows = [], 0, 0
         for batch in batches:
-            for block in B.blocks(batch, limit=4 * B.BLOCK_BYTES):
+            for block in B.blocks(batch):
                 ids, at = tokenizer(block)
-                first = getattr(packer, "rows", 0)
-                for k, (doc, s, e) in enumerate(zip(block.ids.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True), first):
+                for k, (doc, s, e) in enumerate(zip(block.ids.to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True), rows):
                     held[k] = (doc, ids[s:e])
-                packer.pack(np.diff(at), last=False)
-                yield flush()
-        packer.pack(np.zeros(0, np.int64), last=True)
+                lengths.append(np.diff(at))
+                size, rows = size + len(ids), rows + len(block)
+                if size >= PACKED_TOKENS:
+                    packer.pack(np.concatenate(lengths), last=False)
+                    yield flush()
+                    lengths, size = [], 0
+        packer.pack(np.concatenate(lengths) if lengths else np.zeros(0, np.int64), last=True)
         yield flush()
 
     return run
