@@ -97,6 +97,25 @@ def test_binary_round_trip(spark, tmp_path):
         artifact.open_binary(spark, path)
 
 
+def test_binary_layout_is_read_through_spark(spark, tmp_path):
+    g, path = from_rows(spark, 3, ROWS, 2), str(tmp_path / "g.scx")
+    artifact.export_binary(g, path, dataset_id="rows")
+    a = artifact.open_binary(spark, f"file://{path}")
+    assert sorted(map(tuple, a.graph.edges.select("source", "target", "weight", "delay").collect())) == ROWS
+    assert [(r["id"], int(r["external_id"])) for r in a.graph.neurons.orderBy("id").collect()] == [(0, 0), (1, 1), (2, 2)]
+    for bad in ("../x", "/etc/passwd", "a/../../x"):
+        with pytest.raises(PathContainmentError):
+            artifact.contained("store://host/g", bad)
+    assert artifact.contained("store://host/g", "blocks/x.scb") == "store://host/g/blocks/x.scb"
+    data = bytearray(open(f"{path}/neurons.bin", "rb").read())
+    data[5] ^= 1
+    open(f"{path}/neurons.bin", "wb").write(data)
+    with pytest.raises(ChecksumMismatchError):
+        artifact.open_binary(spark, path)
+    with pytest.raises(GraphFormatError):
+        artifact.open_binary(spark, str(tmp_path / "none"))
+
+
 def test_block_codec():
     data = blocks.encode_block(4, np.array([1, 1]), np.array([7, 6]), np.array([1, -2]), np.array([1, 2]))
     start, offsets, targets, weights, delays = blocks.decode_block(data)

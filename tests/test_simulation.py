@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltweave.config import SimulationConfig
-from voltweave.errors import ConfigurationError, FixedPointOverflowError
+from voltweave.errors import BackendNotImplementedError, ConfigurationError, FixedPointOverflowError
 from voltweave.operators.graph import Graph, example, from_rows
 from voltweave.plans import simulate as simulation
+from voltweave.plans.backends import backend_of
 from voltweave.plans.simulate import Stepper, check_buckets, simulate
 
 CONFIG = SimulationConfig(20000, 0, (2,), 2)
@@ -150,6 +151,21 @@ def test_runs_leave_no_names_in_the_catalog(spark):
     assert {t.name for t in spark.catalog.listTables()} == before
 
 
+def test_backends(spark):
+    g, start = example(spark), potentials(spark, (32767, 0, 0, 0))
+    for device in ("auto", "cpu"):
+        backend = backend_of(device)
+        assert backend.device == "cpu"
+        assert matrix(backend.run(g, CONFIG, timesteps=2, initial=start)) == [[1, 0, 0, 0], [0, 1, 0, 0]]
+    stepper = backend.stepper(g, CONFIG, start)
+    stepper.begin_step()
+    assert matrix(stepper.result) == [[1, 0, 0, 0]]
+    with pytest.raises(BackendNotImplementedError):
+        backend_of("cuda")
+    with pytest.raises(ConfigurationError):
+        backend_of("abacus")
+
+
 def test_stepper_protocol(spark):
     s = Stepper(example(spark), CONFIG, potentials(spark, (32767, 0, 0, 0)))
     with pytest.raises(ConfigurationError):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import fixture
 from .catalog import DEGREES, STEPS, SUMMARY, longs
-from .config import RuntimeAxes
+from .config import DEFAULT_CONFIG, PRESETS, RuntimeAxes, SimulationConfig, resolve_axes, resolve_device
 from .errors import DataSchemaError, EngineError, translated
 from .functions.lif import checked_sub
 from .functions.quantize import WeightQuantizer
@@ -269,22 +269,97 @@ def streamed_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("target", F.unix_micros("emitted_from").alias("emitted_us"), F.unix_micros("arrive_ts").alias("arrive_us"), "current", "n_spikes")
 
 
-@query("SELECT p_partkey, p_type, p_brand FROM part")
-def feather_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table written as an Arrow IPC file in a folder that executors see, scanned with three of its columns."""
-    import os
-
-    from .sources.feather import columns, read_feather
-
+def _feather(spark: SparkSession, sf_dir: str) -> str:
+    """The parts as an Arrow IPC file of several batches, in a folder that executors see."""
     folder = work_dir(spark)
     if not folder.startswith(("file:/", "/")):
         raise DataSchemaError("Arrow IPC files are read from a folder that every executor can open")
     path = f"{folder.removeprefix('file://')}/part-{uuid.uuid4().hex}.feather"
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    writer = None
-    for batch in spark.read.parquet(f"{sf_dir}/part.parquet").toArrow().to_batches(max_chunksize=4096):
-        writer = writer or pa.ipc.new_file(path, batch.schema)
-        writer.write_batch(batch)
-    writer.close()
-    assert {"p_partkey", "p_type", "p_brand"} < set(columns(path))
-    return read_feather(spark, path, ["p_partkey", "p_type", "p_brand"])
+    table = spark.read.parquet(f"{sf_dir}/part.parquet").toArrow()
+    with pa.ipc.new_file(path, table.schema) as writer:
+        for batch in table.to_batches(max_chunksize=4096):
+            writer.write_batch(batch)
+    return path
+
+
+@query("SELECT p_partkey, p_type, p_brand FROM part")
+def feather_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns of an Arrow IPC file."""
+    from .sources.feather import read_feather
+
+    return read_feather(spark, _feather(spark, sf_dir), ["p_partkey", "p_type", "p_brand"])
+
+
+@query("""
+SELECT * FROM (VALUES ('portable', 'cpu', 'resident', 'compact'), ('compact', 'auto', 'resident', 'compact'), ('accelerated', 'cuda', 'resident', 'full'), ('streamed', 'auto', 'streamed', 'full'), ('full', 'auto', 'resident', 'full')) AS p(preset, device, residency, scope)""")
+def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The axes that each preset stands for."""
+    rows = [(name, axes.device, axes.residency, axes.scope) for name in PRESETS if (axes := resolve_axes(preset=name))]
+    return spark.createDataFrame(rows, "preset string, device string, residency string, scope string")
+
+
+def _outcome(run: Callable[[], object]) -> str:
+    try:
+        run()
+    except EngineError as error:
+        return type(error).__name__
+    return "accepted"
+
+
+@query("""
+SELECT * FROM (VALUES ('preset and the same axis', 'accepted'), ('preset and another axis', 'ConfigurationError'), ('unknown preset', 'ConfigurationError'), ('unknown device', 'ConfigurationError'), ('general processor', 'accepted'),
+  ('device that is not driven', 'BackendNotImplementedError'), ('threshold beyond 32 bits', 'ConfigurationError'), ('shift of 32', 'ConfigurationError'), ('no shift', 'ConfigurationError'), ('both signed and excluded', 'ConfigurationError'),
+  ('compact with annotations only', 'ConfigurationError'), ('quantizer without a denominator', 'ConfigurationError')) AS s(name, outcome)""")
+def refused_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How settings that contradict each other or are out of range are refused."""
+    cases = {
+        "preset and the same axis": lambda: resolve_axes(preset="portable", device="cpu"), "preset and another axis": lambda: resolve_axes(preset="portable", device="cuda"), "unknown preset": lambda: resolve_axes(preset="none"),
+        "unknown device": lambda: resolve_axes(device="abacus"), "general processor": lambda: resolve_device("auto"), "device that is not driven": lambda: resolve_device("cuda"),
+        "threshold beyond 32 bits": lambda: SimulationConfig(2**31, 0, (2,), 0), "shift of 32": lambda: SimulationConfig(1, 0, (32,), 0), "no shift": lambda: SimulationConfig(1, 0, (), 0),
+        "both signed and excluded": lambda: etl.Conversion(signs={"a": 1}, excluded=frozenset({"a"})), "compact with annotations only": lambda: etl.Conversion(signs={"a": 1}, node_filter="annotations", scope="compact"),
+        "quantizer without a denominator": lambda: WeightQuantizer(1, 0),
+    }
+    return spark.createDataFrame([(name, _outcome(run)) for name, run in cases.items()], "name string, outcome string")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, 1::BIGINT, 32767::BIGINT, 1::BIGINT), (0, 0, 2, -12000, 1), (0, 1, 3, 32767, 1)) AS e(block_id, source, target, weight, delay)")
+def example_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in graph."""
+    return longs(graphs.example(spark).edges, "block_id", "source", "target", "weight", "delay")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT), (1, 1), (2, 3)) AS s(t, id)")
+def example_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spikes of four steps of the built-in graph from a high first node, block by block."""
+    g = graphs.example(spark)
+    stepper = simulate.Stepper(g, DEFAULT_CONFIG, g.neurons.select("id", F.when(F.col("id") == 0, 32767).otherwise(0).alias("v")))
+    for _ in range(4):
+        stepper.begin_step()
+        stepper.schedule_block(0, 2)
+        stepper.schedule_block(2, 2)
+        stepper.finish_step()
+    stepper.close()
+    return longs(stepper.result.spikes, "t", "id")
+
+
+@query(unrolled(True, STEPS) + "SELECT t, id, spike FROM every")
+def spike_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's flag at every step."""
+    return _final(spark, sf_dir).spike_matrix.select(F.col("t").cast("long").alias("t"), "id", "spike")
+
+
+@query(graph_sql(True) + "SELECT id AS source, CAST(count(e.source) AS BIGINT) AS degree, CAST(coalesce(sum(weight), 0) AS BIGINT) AS weight_sum, CAST(coalesce(sum(target * delay), 0) AS BIGINT) AS mix FROM idx LEFT JOIN e ON e.source = idx.id GROUP BY id")
+def adjacency_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node's edges as one array, told by its length and sums."""
+    rows = graphs.adjacency(fixture.graph(spark, sf_dir, delays=True, ordered=True).resident())
+    total = lambda f: F.aggregate("edges", F.lit(0).cast("long"), lambda a, e: a + f(e))
+    return rows.select("source", F.size("edges").cast("long").alias("degree"), total(lambda e: e["weight"]).alias("weight_sum"), total(lambda e: e["target"] * e["delay"]).alias("mix"))
+
+
+@query("SELECT column_name AS name, row_number() OVER () AS place FROM (DESCRIBE SELECT * FROM part)")
+def feather_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of an Arrow IPC file, known without reading a row."""
+    from .sources.feather import columns
+
+    rows = [(name, k) for k, name in enumerate(columns(_feather(spark, sf_dir)), 1)]
+    return spark.createDataFrame(rows, "name string, place long")

@@ -10,13 +10,13 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .config import DEFAULT_CONFIG, DEVICES, PRESETS, RESIDENCIES, SCOPES, resolve_axes, resolve_device
+from .config import DEFAULT_CONFIG, DEVICES, PRESETS, RESIDENCIES, SCOPES, resolve_axes
 from .errors import ArtifactExistsError, EngineError
 from .functions.quantize import WeightQuantizer
 from .operators import etl
 from .operators.graph import Graph, example
+from .plans.backends import backend_of
 from .plans.planner import plan
-from .plans.simulate import simulate
 from .shipping import ship
 from .sources.artifact import Files, load_artifact, open_artifact, open_binary, write_artifact
 from .sources.feather import columns, local_file, read_feather
@@ -90,7 +90,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace) -> str:
     axes = resolve_axes(preset=args.preset, device=args.device, residency=args.residency, scope=args.scope)
-    device = resolve_device(axes.device)
+    backend = backend_of(axes.device)
     spark = session()
     graph = load(spark, args.dataset, axes.residency)
     start = None
@@ -101,12 +101,12 @@ def run(args: argparse.Namespace) -> str:
 
         start = graph.neurons.select("id", F.when(F.col("id") == args.seed_node, args.seed_potential).otherwise(0).alias("v"))
     began = time.perf_counter()
-    result = simulate(graph, DEFAULT_CONFIG, timesteps=args.timesteps, initial=start, residency=axes.residency)
+    result = backend.run(graph, DEFAULT_CONFIG, timesteps=args.timesteps, initial=start, residency=axes.residency)
     took = time.perf_counter() - began
-    said = f"measured device={device} requested_device={axes.device} residency={axes.residency} scope={axes.scope} timesteps={args.timesteps}"
+    said = f"measured device={backend.device} requested_device={axes.device} residency={axes.residency} scope={axes.scope} timesteps={args.timesteps}"
     if args.json:
         steps = [r["spikes"] for r in result.step_summary.orderBy("t").collect()]
-        return json.dumps({"device": device, "residency": axes.residency, "scope": axes.scope, "timesteps": args.timesteps, "spikes": steps, "wall_seconds": round(took, 6), "evidence": "measured"}, sort_keys=True)
+        return json.dumps({"device": backend.device, "residency": axes.residency, "scope": axes.scope, "timesteps": args.timesteps, "spikes": steps, "wall_seconds": round(took, 6), "evidence": "measured"}, sort_keys=True)
     if args.command == "benchmark":
         return f"{said} wall_seconds={took:.6f} spikes={result.spike_count}"
     return f"{said} spikes={result.spike_count} digest={result.spike_digest}"

@@ -59,6 +59,9 @@ def translated(error: Exception) -> Exception:
     for kind in (DataSchemaError, QuantizationError, GraphValidationError, FixedPointOverflowError):
         if f"[{kind.__name__}]" in text:
             return kind(text.split(f"[{kind.__name__}]", 1)[1].splitlines()[0].strip())
+    for kind in (ChecksumMismatchError, GraphValidationError, GraphFormatError):  # raised by a task's own code
+        if (mark := f"errors.{kind.__name__}: ") in text:
+            return kind(text.split(mark, 1)[1].splitlines()[0].strip())
     if any(x in text for x in ("ARITHMETIC_OVERFLOW", "CAST_OVERFLOW")):
         return FixedPointOverflowError("signed 32-bit overflow")
     if "PATH_ALREADY_EXISTS" in text:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import posixpath
 import re
 import uuid
 from collections.abc import Iterator
@@ -18,10 +19,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ArtifactExistsError, ChecksumMismatchError, GraphFormatError, GraphValidationError, PathContainmentError
+from ..errors import ArtifactExistsError, ChecksumMismatchError, GraphFormatError, GraphValidationError, PathContainmentError, translated
 from ..operators.graph import Graph, block_descriptors, contiguity_violations, source_degrees, validate
 from . import blocks as codec
 
@@ -29,6 +31,8 @@ FORMAT_ID, FORMAT_VERSION = "voltweave-graph", 1
 # Fixed value: the binary layout's name of itself.
 BINARY_ID = "scx"
 SHA = re.compile(r"[0-9a-f]{64}")
+#: Nodes that a task returns at a time.
+NODES_A_BATCH = 1 << 16
 DESCRIPTOR = ("filename", "source_start", "source_count", "edge_count", "byte_size", "sha256")
 
 
@@ -41,6 +45,16 @@ def safe_join(root: str, relative: str) -> str:
     return path
 
 
+def contained(root: str, relative: str) -> str:
+    """A path in a folder of any store; in a local one links are followed as well."""
+    if "://" not in root:
+        return safe_join(root, relative)
+    path = posixpath.normpath(relative)
+    if path.startswith(("/", "..")):
+        raise PathContainmentError(f"{relative} lies outside the artifact")
+    return f"{root.rstrip('/')}/{path}"
+
+
 class Files:
     """A folder through Hadoop's file systems, so that any store Spark reads will do."""
 
@@ -196,17 +210,19 @@ def export_binary(graph: Graph, path: str, *, dataset_id: str, source_url: str |
 
 
 def open_binary(spark: SparkSession, path: str, *, verify_checksums: bool = True) -> Artifact:
-    """A graph from the binary layout in a folder that all executors see; each block is decoded where it is read."""
+    """A graph from the binary layout in any store that Spark reads; blocks and nodes are decoded and verified in tasks, where they are read. Each file is one value of at most 2 GB."""
+    files = Files(spark, path)
+    if not files.exists("manifest.json"):
+        raise GraphFormatError(f"no manifest: {path}")
     try:
-        with open(os.path.join(path, "manifest.json")) as f:
-            manifest = json.load(f)
-    except (OSError, ValueError) as error:
+        manifest = json.loads(files.read_text("manifest.json"))
+    except ValueError as error:
         raise GraphFormatError(f"cannot read manifest: {path}") from error
     if manifest.get("format_id") != BINARY_ID or manifest.get("format_version") != 1:
         raise GraphFormatError("unsupported artifact format")
     n, expected = manifest["n_neurons"], 0
     for b in manifest["blocks"]:
-        safe_join(path, b["filename"])
+        contained(path, b["filename"])
         if set(b) != set(DESCRIPTOR) or not SHA.fullmatch(b["sha256"]):
             raise GraphFormatError("a block descriptor is malformed")
         if b["source_start"] != expected:
@@ -214,13 +230,25 @@ def open_binary(spark: SparkSession, path: str, *, verify_checksums: bool = True
         expected += b["source_count"]
     if expected != n or sum(b["edge_count"] for b in manifest["blocks"]) != manifest["n_edges"]:
         raise GraphValidationError("blocks do not cover every source or every edge")
-    with open(safe_join(path, "neurons.bin"), "rb") as f:
-        raw = f.read()
-    if verify_checksums and (len(raw) != manifest["neurons_byte_size"] or hashlib.sha256(raw).hexdigest() != manifest["neurons_sha256"]):
-        raise ChecksumMismatchError("neurons.bin differs from the manifest")
-    rows = codec.decode_neurons(raw, n)
-    neurons = spark.createDataFrame(pa.table({k: pa.array(rows[k].astype(object), pa.decimal128(20, 0)) if k == "external_id" else pa.array(rows[k].astype(np.int64)) for k in rows.dtype.names}))
-    neurons = neurons.select("id", "external_id", F.col("type_code").cast("int").alias("type_code"), F.col("transmitter_code").cast("tinyint").alias("transmitter_code"), F.col("side_code").cast("tinyint").alias("side_code"))
+    size, sha = manifest["neurons_byte_size"], manifest["neurons_sha256"]
+
+    def decode_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                raw = content.as_py()
+                if verify_checksums and (len(raw) != size or hashlib.sha256(raw).hexdigest() != sha):
+                    raise ChecksumMismatchError("neurons.bin differs from the manifest")
+                rows = codec.decode_neurons(raw, n)
+                for k in range(0, max(n, 1), NODES_A_BATCH):
+                    part = rows[k : k + NODES_A_BATCH]
+                    yield pa.record_batch([pa.array(part["id"].astype(np.int64)), pa.array(part["external_id"].astype(np.uint64)).cast(pa.decimal128(20, 0)), *(pa.array(part[c].astype(t)) for c, t in (("type_code", np.int32), ("transmitter_code", np.int8), ("side_code", np.int8)))], names=list(codec.NEURON.names))
+
+    neurons = spark.read.format("binaryFile").load(contained(path, "neurons.bin")).select("content").mapInArrow(decode_nodes, "id long, external_id decimal(20,0), type_code int, transmitter_code tinyint, side_code tinyint")
+    try:
+        if neurons.count() != n:
+            raise GraphFormatError("the neuron table's size does not match the manifest")
+    except PySparkException as error:
+        raise translated(error) from error
     known = {os.path.basename(b["filename"]): (k, b) for k, b in enumerate(manifest["blocks"])}
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +266,7 @@ def open_binary(spark: SparkSession, path: str, *, verify_checksums: bool = True
                 yield pa.record_batch([pa.array(source), pa.array((k << 32) + np.arange(len(source))), pa.array(targets.astype(np.int64)), pa.array(weights.astype(np.int32)), pa.array(delays.astype(np.int32)), pa.array(np.full(len(source), k, np.int32))], names=[x.split()[0] for x in EDGES.split(", ")])
 
     if known:
-        edges = spark.read.format("binaryFile").option("pathGlobFilter", "*.scb").load(os.path.join(path, "blocks")).select("path", "content").mapInArrow(decode, EDGES)
+        edges = spark.read.format("binaryFile").option("pathGlobFilter", "*.scb").load(f"{path.rstrip('/')}/blocks").select("path", "content").mapInArrow(decode, EDGES)
     else:
         edges = spark.createDataFrame([], EDGES)
     size = max((b["source_count"] for b in manifest["blocks"]), default=1)
