@@ -12,7 +12,7 @@
 4. Classes of one star that the confirmed links leave apart may still resemble each other. They are compared
    directly, chunk against chunk, in a star of up to DIRECT chunks, so a text is sent that many times at most.
    A larger star is dealt into buckets anew, by the shingles that tell a class from the centre: a class that
-   is not linked with the centre shares more than half of another's differences if the two are linked, so it
+   is not linked with the centre shares about half of another's differences or more if the two are linked, so it
    looks under all its differences, and the other waits under enough of them to be met. Those buckets have
    stars again, with centres of their own. Only what LEVELS such rounds leave apart in one star is compared
    chunk against chunk whatever its size. A task returns at most one link fewer than it has classes.
